@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sequence import equal_runs
 
 _GRID = 30  # candidate tail parameters a source
@@ -99,10 +100,11 @@ def flag(
     key = ["source", "field"]
     rows = readings(df, ident, source, time, season, fields)
     rows = equal_runs(rows, key, ["time", "ident"], "value", F.coalesce(F.floor(F.col("time") / slice_width), F.lit(-(1 << 62))))
-    rows = rows.withColumns({"stuck": F.col("run_length") >= stuck_runs, "source": F.col("source")})
+    rows = rows.withColumns({"stuck": F.col("run_length") >= stuck_runs})
     rows = rows.withColumn("usable", ~F.col("stuck") & ~F.col("implausible"))
     rows = rows.withColumn("block", F.floor(F.col("time") / stretch)).withColumn("skey", F.coalesce(F.col("source").cast("string"), F.lit("\x00")))
     key = ["skey", "field"]
+    rows = cut(rows)  # read by every estimate below; else each would sort the runs again
 
     usable = rows.where("usable").select("skey", "field", F.coalesce(F.col("season").cast("string"), F.lit("")).alias("s"), F.coalesce("block", F.lit(-1)).alias("b"), "value")
     level = usable.groupBy(*key).agg(_median("value").alias("level"), F.count(F.lit(1)).alias("total"))
@@ -113,6 +115,7 @@ def flag(
     rows = rows.withColumns({"s": F.coalesce(F.col("season").cast("string"), F.lit("")), "b": F.coalesce("block", F.lit(-1))})
     rows = rows.join(level, key, "left").join(season_level, [*key, "s", "b"], "left")
     rows = rows.withColumns({"off": F.abs(F.col("value") - F.col("level")), "residual": F.col("value") - F.coalesce("seasonal", "level")})
+    rows = cut(rows.drop("s", "b", "block", "seasonal"))
     spreads = rows.where("usable").groupBy(*key).agg(
         _median("off").alias("o"), F.avg("off").alias("oa"), _median(F.abs("residual")).alias("r"), F.avg(F.abs("residual")).alias("ra"), F.percentile_approx(F.abs("residual"), threshold, _EXACT).alias("u0")
     )
@@ -123,8 +126,8 @@ def flag(
     u = F.try_divide(F.col("u0"), F.col("rscale"))
     rows = rows.withColumns({"y": y, "u": u})
     excesses = rows.where(F.col("usable") & (F.col("y") > F.col("u")) & (F.col("off") <= spread * F.col("scale"))).select(*key, (F.col("y") - F.col("u")).alias("excess"), "total")
-    cut = tail_cutoffs(excesses, key, risk, shrink=20.0)
-    rows = rows.join(cut, key, "left")
+    tails = tail_cutoffs(excesses, key, risk, shrink=20.0)
+    rows = rows.join(tails, key, "left")
     cutoff = F.least(F.coalesce(F.col("u") + F.col("over"), F.lit(highest_cutoff)), F.lit(highest_cutoff))
     extreme = F.coalesce((F.col("y") > cutoff) & (F.col("off") > spread * F.col("scale")) & (F.col("scale") > 0), F.lit(False))
     return rows.select("ident", "source", "time", "season", "field", "value", "run_length", "level", "scale", "residual", cutoff.alias("cutoff"), "implausible", "stuck", extreme.alias("extreme"))
