@@ -3,8 +3,9 @@
 Nearly all of a corpus is already canonical. Character properties decide that
 quickly: a text is stable when no character of it composes, decomposes, is
 invisible, is a variant blank, hyphen, width or ligature, and when its letters
-come from one script only. The JVM makes this test for whole texts, and stable
-ones never reach Python. In the others only the unstable segments (a word or a
+come from one script only. Plain ASCII texts, which the JVM tells by their
+length in bytes, never reach Python; the rest takes this test there, a linear
+pass of one compiled pattern. In texts that fail only the unstable segments (a word or a
 run of blanks around an unstable character, so composition sees its context)
 are rewritten and spliced between the untouched pieces.
 
@@ -132,8 +133,8 @@ def _stable() -> tuple[str, dict[int, str], dict[int, str]]:
 _COMMON, _LETTERS, _SINGLE = _stable()
 # Without a letter that has no double, a text in another script is spelt in Latin.
 _WHOLE = {s: ("" if s == _LATIN else f"(?=[^{_SINGLE[s]}]*+[{_SINGLE[s]}])") + f"[{_COMMON}{_LETTERS[s]}]*+" for s in (_LATIN, _CYRILLIC, _GREEK)}
-#: Texts that match are canonical as they are.
-STABLE = "^(?:" + "|".join(_WHOLE.values()) + r")\z"
+# What may make an ASCII text unstable.
+_CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 _LETTER = r"[^\W\d_]"
 #: A word with what may belong to it (marks, invisible characters), or one blank, hyphen or other unstable character.
@@ -193,20 +194,21 @@ def canonical(text: str | None) -> str | None:
 
 
 def _rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Canonical forms; null where the text is its own."""
     for texts in batches:
-        yield texts.map(canonical, na_action="ignore")
+        yield pd.Series([None if t is None or (c := canonical(t)) == t else c for t in texts], dtype=object)
 
 
 def canonical_text(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` plus ``out``, the canonical form of ``text``.
 
-    Only texts that fail the JVM's stability test pass through Python, whole,
-    however long. Null gives null, the empty text itself. A column of the name
+    Texts that aren't plain ASCII pass through Python, whole, however long; only
+    changed ones come back. Null gives null, the empty text itself. A column of the name
     ``out`` is replaced, every other column stays.
     """
     rewrite = F.pandas_udf(_rewrite, "string")
-    unstable = ~F.col(text).rlike(STABLE)
-    return df.withColumn(out, F.coalesce(rewrite(F.when(unstable, F.col(text))), F.col(text)))
+    unsure = (F.octet_length(text) != F.char_length(text)) | F.col(text).rlike(_CONTROLS)
+    return df.withColumn(out, F.coalesce(rewrite(F.when(unsure, F.col(text))), F.col(text)))
 
 
 def digest(text: Column) -> Column:

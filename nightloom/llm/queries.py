@@ -9,8 +9,11 @@ from ..stages import code_of, label_of
 from ..tables import latest, table
 from .consensus import Consensus, consensus
 from .lookalike import alike_pairs, canonical_text
+from .mixing import Mix, mix
 from .nearest import microseconds, nearest_within
+from .packing import filling, pack
 from .runs import collapse_runs
+from .tokens import with_token_counts
 
 STAGES = ("WAKE", "N1", "N2", "N3", "REM")
 
@@ -74,6 +77,35 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_runs(spark, folder).where("n_epochs >= 2")
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return with_token_counts(docs, "text").select("doc_id", "source", "n_tokens")
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container and place of every document, for each capacity of pack_capacity."""
+    return pack(_sizes(spark, folder), table(spark, folder, "pack_capacity"), ident="doc_id", size="n_tokens")
+
+
+def p6_filling(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers of :func:`p6_packed` are filled."""
+    return filling(p6_packed(spark, folder), table(spark, folder, "pack_capacity"))
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    return mix(_sizes(spark, folder), table(spark, folder, "mix_target"), ident="doc_id", source="source", size="n_tokens")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents and how often each is taken."""
+    return _mix(spark, folder).picks
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's target, budget and the share it reached."""
+    return _mix(spark, folder).shares
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that look the same and are different strings: ``(doc_id_a, doc_id_b)``."""
     return alike_pairs(table(spark, folder, "documents"), "doc_id", "text")
@@ -91,6 +123,10 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_runs": p5_runs,
+    "p6_packed": p6_packed,
+    "p6_filling": p6_filling,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
 }
