@@ -132,12 +132,11 @@ def mix(docs: DataFrame, targets: DataFrame, *, ident: str, source: str, size: s
     part = fitted.groupBy("source").agg(F.sum(F.col("take") * F.col("n_tokens")).alias("part"), F.sum("take").alias("more"))
     told = plan.join(part, "source", "left").fillna(0, ["part", "more"])
     told = told.withColumn("mixed_tokens", F.col("passes") * F.col("available") + F.col("part"))
-    whole = told.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    told = told.join(F.broadcast(whole))  # one row
+    all_tokens = told.agg(F.sum("mixed_tokens")).first()[0] or 0
     shares = told.select(
         "source", "target_share", "max_repeat", "n_docs", F.col("available").alias("available_tokens"), F.col("budget").alias("budget_tokens"), "mixed_tokens",
         (F.col("passes") * F.col("n_docs") + F.col("more")).alias("copies"),
-        F.try_divide("mixed_tokens", "all_tokens").alias("actual_share"),
+        F.try_divide("mixed_tokens", F.lit(int(all_tokens))).alias("actual_share"),
         (F.col("budget") - F.col("mixed_tokens")).alias("missing_tokens"),
     )
     return Mix(picks, shares)

@@ -99,7 +99,8 @@ def founders(sizes: np.ndarray, capacity: int, size: int, rng: np.random.Generat
 
 def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], generations: int, rng: np.random.Generator) -> list[np.ndarray]:
     """``generations`` children by tournament, each replacing the worst if better; best first."""
-    bound = -(-int(sizes.sum()) // capacity)
+    # no two items above half a container share one
+    bound = max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
     rated = sorted(((fitness(sizes, capacity, b), k, b) for k, b in enumerate(population)), key=lambda x: -x[0])
     for k in range(generations):
         if int(rated[0][2].max(initial=-1)) + 1 <= bound:
@@ -115,10 +116,12 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], gener
     return [b for _, _, b in rated]
 
 
+#: Kinds of container at most; they become literals of the plan.
+MOST_KINDS = 1000
 _SHARD = "container string, capacity int, shard bigint, island int, sizes array<int>"
 
 
-def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard_items: int = 2048, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 10, seed: int = 0) -> DataFrame:
+def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard_items: int = 2048, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 25, seed: int = 0) -> DataFrame:
     """Where every document goes, for each kind of container.
 
     containers: ``(container, capacity_tokens)``. Result: ``(container,
@@ -133,14 +136,18 @@ def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard
     left out, one named twice counts with its greatest capacity. Shards hold
     about ``shard_items`` items by a hash of the id, at any size of the input.
     """
-    kind = dict(docs.dtypes)[ident]
     kinds = containers.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
+    listed = kinds.orderBy("container").limit(MOST_KINDS + 1).collect()
+    if len(listed) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of container")
+    if not listed:
+        listed = [(None, None)]
     whole = docs.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("doc")).agg(F.max(F.coalesce(F.col(size), F.lit(0))).cast("int").alias("size"))
     whole = cut(whole)
     n = max(1, whole.where("size > 0").count())
     shards = -(-n // shard_items)
-    # the kinds are a short list of the user's; the join multiplies documents by kinds, as the result does
-    laid = whole.join(F.broadcast(kinds))
+    kind_of = F.explode(F.array(*[F.struct(F.lit(name).cast("string").alias("container"), F.lit(cap).cast("int").alias("capacity")) for name, cap in listed]))
+    laid = whole.withColumn("k", kind_of).select("doc", "size", "k.container", "k.capacity").where("capacity is not null")
     full = F.when(F.col("size") > F.col("capacity"), F.floor(F.col("size") / F.col("capacity"))).otherwise(0).cast("int")
     laid = laid.withColumn("full", full).withColumn("left", (F.col("size") - F.col("full") * F.col("capacity")).cast("int"))
     items = laid.where("left > 0").select("container", "capacity", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(shards)).alias("shard"), F.struct("left", "doc", "full").alias("item"))
@@ -165,9 +172,10 @@ def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard
         return work
 
     on = ["container", "shard", "island"]
+    tasks = max(1, shards * islands * len(listed) // 16)
     for epoch in range(epochs):
-        # parallelism follows the shards, not their bytes, which are few
-        states = states.repartition("container", "shard", "island").mapInPandas(breed(epoch), f"{_SHARD}, pool array<array<int>>, score double")
+        # parallelism follows the number of shards, not their bytes, which are few
+        states = states.repartition(tasks, "container", "shard", "island").mapInPandas(breed(epoch), f"{_SHARD}, pool array<array<int>>, score double")
         states = cut(states)
         if epoch + 1 < epochs:
             elite = states.select("container", "shard", ((F.col("island") + 1) % islands).alias("island"), F.col("pool")[0].alias("guest"))
