@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prep
+from . import agree, ev, hyp, prep
 
-_MODULES = (prep,)
+_MODULES = (hyp, ev, agree, prep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
