@@ -8,12 +8,21 @@ enough samples give null. Every window carries its keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, also where ``f`` uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
 def epochs(samples: DataFrame, keys: Sequence[str], sample: str, value: str, width: int) -> DataFrame:
     """``(keys, epoch, values)``: tumbling windows of exactly ``width`` samples; a partial one is dropped."""
     rows = samples.withColumn("epoch", F.floor(F.col(sample) / width))
@@ -70,7 +79,7 @@ def moving(samples: DataFrame, keys: Sequence[str], sample: str, x: str, last: s
         "prop_above_zero": lambda: F.avg((v >= 0).cast("double")),
         "slope": lambda: enough(F.regr_slope(v, F.col(sample) / sf)),
         "covar": lambda: enough(F.covar_samp(v, F.col(y))),
-        "corr": lambda: enough(F.when((F.var_pop(v) > 0) & (F.var_pop(F.col(y)) > 0), F.corr(v, F.col(y)))),
+        "corr": lambda: enough(F.try_divide(F.covar_pop(v, F.col(y)), F.stddev_pop(v) * F.stddev_pop(F.col(y)))),
     }[method]()
     g = rows.groupBy(*keys, "window").agg(F.max(last).alias(last), stat.alias("value"))
     return g.select(*keys, "window", ((begin(k) + end(k)) / 2 / sf).alias("t"), "value")
@@ -142,9 +151,8 @@ def trimmed_sd(values: Column, cut: float = 0.1) -> Column:
     n = F.size(values)
     k = F.floor(n * cut).cast("int")
     kept = F.slice(F.array_sort(values), k + 1, F.greatest(n - 2 * k, F.lit(0)))
-    mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)
-    ss = F.aggregate(kept, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(n - 2 * k > 1, F.sqrt(ss / (F.size(kept) - 1)))
+    ss = lambda xs: let(_total(xs) / F.size(xs), lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    return F.when(n - 2 * k > 1, let(kept, lambda xs: F.sqrt(ss(xs) / (F.size(xs) - 1))))
 
 
 def zero_crossings(values: Column) -> Column:
@@ -207,28 +215,24 @@ def band_power(spectra: DataFrame, keys: Sequence[str], freqs: str, psd: str, ba
 def describe(values: Column) -> dict[str, Column]:
     """Per-epoch features of an array: std, iqr, skew, kurt, nzc, hmob, hcomp, petrosian."""
     n = F.size(values).cast("double")
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    mean = total(values) / n
-    moment = lambda p: total(F.transform(values, lambda x: F.pow(x - mean, F.lit(float(p))))) / n
-    m2 = moment(2)
+    centred = let(_total(values) / n, lambda m: F.transform(values, lambda x: x - m))
+    power = lambda xs, k: _total(F.transform(xs, lambda x: F.pow(x, F.lit(float(k))))) / n
     diff = lambda xs: F.zip_with(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), lambda a, b: a - b)
-    var = lambda xs: total(F.transform(xs, lambda x: x * x)) / F.size(xs) - F.pow(total(xs) / F.size(xs), F.lit(2.0))
-    d1 = diff(values)
-    v0, v1, v2 = var(values), var(d1), var(diff(d1))
-    srt = F.array_sort(values)
+    var = lambda xs: let(_total(xs) / F.size(xs), lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))) / F.size(xs)
+    v0, v1, v2 = var(values), var(diff(values)), let(diff(values), lambda d: var(diff(d)))
 
-    def quantile(q: float) -> Column:
-        pos = (n - 1) * q
-        lo = F.floor(pos).cast("int")
-        return F.get(srt, lo) + (F.get(srt, F.least(lo + 1, n.cast("int") - 1)) - F.get(srt, lo)) * (pos - lo)
+    def quantile(s: Column, q: float) -> Column:
+        at = (n - 1) * q
+        lo = F.floor(at).cast("int")
+        return F.get(s, lo) + (F.get(s, F.least(lo + 1, n.cast("int") - 1)) - F.get(s, lo)) * (at - lo)
 
     mobility = F.sqrt(F.try_divide(v1, v0))
-    turns = F.size(F.filter(F.sequence(F.lit(1), F.size(d1) - 1), lambda i: F.get(d1, i) * F.get(d1, i - 1) < 0))
+    turns = let(diff(values), lambda d: F.size(F.filter(F.sequence(F.lit(1), F.size(d) - 1), lambda i: F.get(d, i) * F.get(d, i - 1) < 0)))
     return {
-        "std": F.sqrt(m2 * n / (n - 1)),
-        "iqr": quantile(0.75) - quantile(0.25),
-        "skew": F.try_divide(moment(3), F.pow(m2, F.lit(1.5))),
-        "kurt": F.try_divide(moment(4), m2 * m2) - 3,
+        "std": let(centred, lambda c: F.sqrt(power(c, 2) * n / (n - 1))),
+        "iqr": let(F.array_sort(values), lambda s: quantile(s, 0.75) - quantile(s, 0.25)),
+        "skew": let(centred, lambda c: F.try_divide(power(c, 3), F.pow(power(c, 2), F.lit(1.5)))),
+        "kurt": let(centred, lambda c: F.try_divide(power(c, 4), power(c, 2) * power(c, 2)) - 3),
         "nzc": F.size(zero_crossings(values)),
         "hmob": mobility,
         "hcomp": F.try_divide(F.sqrt(F.try_divide(v2, v1)), mobility),
@@ -241,15 +245,12 @@ def ndpac(phase: Column, amplitude: Column, p: float = 0.05) -> Column:
     from ..functions.dist import erfinv
 
     n = F.size(phase).cast("double")
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    mean = total(amplitude) / n
-    sd = F.sqrt(total(F.transform(amplitude, lambda x: (x - mean) * (x - mean))) / (n - 1))
-    z = F.transform(amplitude, lambda x: F.try_divide(x - mean, sd))
-    re = total(F.zip_with(z, phase, lambda a, f: a * F.cos(f)))
-    im = total(F.zip_with(z, phase, lambda a, f: a * F.sin(f)))
-    square = re * re + im * im
+    centred = let(_total(amplitude) / n, lambda m: F.transform(amplitude, lambda x: x - m))
+    scaled = let(centred, lambda c: let(F.sqrt(_total(F.transform(c, lambda x: x * x)) / (n - 1)), lambda sd: F.transform(c, lambda x: F.try_divide(x, sd))))
+    part = lambda f: let(scaled, lambda z: _total(F.zip_with(z, phase, lambda a, p: a * f(p))))
+    square = F.pow(part(F.cos), F.lit(2.0)) + F.pow(part(F.sin), F.lit(2.0))
     limit = 2 * n * float(erfinv(1 - p) ** 2)
-    return F.when(square <= limit, 0.0).otherwise(F.sqrt(square) / n)
+    return let(square, lambda s: F.when(s <= limit, 0.0).otherwise(F.sqrt(s) / n))
 
 
 def artefacts(epochs_: DataFrame, keys: Sequence[str], channel: str, stage: str, values: str, threshold: float = 3.0, n_chan_reject: int = 1, least_epochs: int = 30) -> DataFrame:
@@ -260,10 +261,7 @@ def artefacts(epochs_: DataFrame, keys: Sequence[str], channel: str, stage: str,
     ``least_epochs`` epochs are not judged.
     """
     v = F.col(values)
-    n = F.size(v)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    mean = total(v) / n
-    sd = F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
+    sd = let(_total(v) / F.size(v), lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)))
     rows = epochs_.select(*keys, channel, stage, "epoch", sd.alias("_sd"), (F.array_min(v) == F.array_max(v)).alias("_flat"))
     alive = rows.groupBy(*keys, channel).agg(F.max("_sd").alias("_m")).where("_m > 0").select(*keys, channel)
     rows = rows.join(alive, [*keys, channel], "left_semi")
