@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import agree, ev, hyp, prep, sig
+from . import agree, det, ev, hyp, prep, sig
 
-_MODULES = (hyp, ev, agree, sig, prep)
+_MODULES = (hyp, ev, agree, sig, det, prep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
