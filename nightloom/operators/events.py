@@ -65,11 +65,20 @@ def samples_of(events: DataFrame, by: Sequence[str], start: Column, end: Column,
     return rows.select(*by, F.explode(F.sequence(at(start), at(end))).alias("sample")).distinct()
 
 
-def locked(events: DataFrame, samples: DataFrame, by: Sequence[str], ident: str, center: Column, sf: float, before: float, after: float, value: str) -> DataFrame:
-    """``(by, ident, offset, value)``: samples around each event's centre; events whose window leaves the data are dropped."""
+def locked(events: DataFrame, samples: DataFrame, by: Sequence[str], ident: str, center: Column, sf: float, before: float, after: float, value: str, bounds: DataFrame | None = None) -> DataFrame:
+    """``(by, ident, offset, value)``: samples around each event's centre; events whose window leaves the data are dropped.
+
+    bounds: ``(by, lo, hi)`` for a sparse signal, whose missing samples from lo
+    to hi are 0; it need not be filled up for this.
+    """
     nb, na = int(before * sf), int(after * sf)
-    grid = events.where(center.isNotNull()).select(*by, ident, F.floor(center * sf).cast("bigint").alias("_c"), F.explode(F.sequence(F.lit(-nb), F.lit(na))).alias("offset"))
-    met = grid.withColumn("sample", F.col("_c") + F.col("offset")).join(samples.select(*by, "sample", value), [*by, "sample"])
+    grid = events.where(center.isNotNull()).select(*by, ident, F.floor(center * sf).cast("bigint").alias("_c"))
+    if bounds is not None:
+        grid = grid.join(bounds, list(by)).where((F.col("_c") - nb >= F.col("lo")) & (F.col("_c") + na <= F.col("hi"))).drop("lo", "hi")
+    grid = grid.withColumn("offset", F.explode(F.sequence(F.lit(-nb), F.lit(na)))).withColumn("sample", F.col("_c") + F.col("offset"))
+    met = grid.join(samples.select(*by, "sample", value), [*by, "sample"], "inner" if bounds is None else "left")
+    if bounds is not None:
+        return met.select(*by, ident, "offset", F.coalesce(value, F.lit(0)).alias(value))
     n = F.count(F.lit(1)).over(Window.partitionBy(*by, ident, "_c"))
     return met.withColumn("_n", n).where(F.col("_n") == nb + na + 1).select(*by, ident, "offset", value)
 

@@ -35,9 +35,12 @@ def dense(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``(keys, epoch)`` must be unique; negative and null epochs are dropped.
     """
     rows = rows.where("epoch >= 0").select(*keys, F.col("epoch").cast("int").alias("epoch"), F.col("code").cast("int").alias("code"))
-    spans = rows.groupBy(*keys).agg(F.max("epoch").alias("_last"))
-    grid = spans.select(*keys, F.explode(F.sequence(F.lit(0), "_last")).alias("epoch"))
-    return grid.join(rows, [*keys, "epoch"], "left").withColumn("code", F.coalesce("code", F.lit(-2)))
+    w = _along(keys)
+    # each row also stands for the gap behind it, the first one for the gap before it
+    first = F.when(F.lag("epoch").over(w).isNull(), 0).otherwise(F.col("epoch"))
+    last = F.coalesce(F.lead("epoch").over(w) - 1, F.col("epoch"))
+    wide = rows.withColumns({"_a": first, "_b": last}).withColumn("_e", F.explode(F.sequence("_a", "_b")))
+    return wide.select(*keys, F.col("_e").alias("epoch"), F.when(F.col("_e") == F.col("epoch"), F.coalesce("code", F.lit(-2))).otherwise(-2).alias("code"))
 
 
 def violations(hyp: DataFrame, keys: Sequence[str], n_stages: int = 5) -> DataFrame:
@@ -170,26 +173,26 @@ def sleep_statistics(hyp: DataFrame, keys: Sequence[str], freq: str = "freq_sec"
     rank = F.sum(F.when(asleep, 1).otherwise(0)).over(w)
     rows = rows.withColumn("_run", F.when(asleep, F.col("_i") - rank))
     length = F.count("_run").over(Window.partitionBy(*keys, "_run"))
-    rows = rows.withColumn("_len", F.when(asleep, length))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_len": F.when(asleep, length), "_f": F.min(F.when(asleep, F.col("epoch"))).over(whole), "_l": F.max(F.when(asleep, F.col("epoch"))).over(whole)})
     first = lambda cond: F.min(F.when(cond, F.col("epoch")))
     count = lambda cond: F.count_if(cond)
     code = F.col("code")
     agg = rows.groupBy(*keys).agg(
-        F.max("_freq").alias("_freq"), F.count(F.lit(1)).alias("_tib"), first(asleep).alias("_f"), F.max(F.when(asleep, F.col("epoch"))).alias("_l"), count(asleep).alias("_tst"),
+        F.max("_freq").alias("_freq"), F.count(F.lit(1)).alias("_tib"), F.max("_f").alias("_f"), F.max("_l").alias("_l"), count(asleep).alias("_tst"),
         *[count(code == v).alias(f"_n{k}") for k, v in LABELS[5].items()],
         *[first(code == v).alias(f"_lat{k}") for k, v in (("N1", 1), ("N2", 2), ("N3", 3), ("REM", 4))],
         count(asleep & (F.col("_next") == 0)).alias("_frag"),
         first(asleep & (F.col("_len") * F.col("_freq") >= 300)).alias("_sol5"),
+        count((code == 0) & F.col("epoch").between(F.col("_f"), F.col("_l"))).alias("_waso"),
     )
-    inside = rows.join(agg.select(*keys, "_f", "_l"), list(keys)).where("epoch between _f and _l").groupBy(*keys).agg(count(F.col("code") == 0).alias("_waso"))
-    agg = agg.join(inside, list(keys), "left")
     m = F.col("_freq") / 60
     c = F.col
     spt = F.coalesce((c("_l") - c("_f") + 1) * m, F.lit(0.0))
     tst = c("_tst") * m
     some = c("_tst") > 0
     minutes = {
-        "TIB": c("_tib") * m, "SPT": spt, "WASO": F.when(some, F.coalesce("_waso", F.lit(0)) * m), "TST": tst, "SOL": c("_f") * m, "SOL_5min": c("_sol5") * m,
+        "TIB": c("_tib") * m, "SPT": spt, "WASO": F.when(some, c("_waso") * m), "TST": tst, "SOL": c("_f") * m, "SOL_5min": c("_sol5") * m,
         **{k: c(f"_n{k}") * m for k in ("WAKE", "N1", "N2", "N3", "REM")},
         "NREM": (c("_nN1") + c("_nN2") + c("_nN3")) * m, "ART": c("_nART") * m, "UNS": c("_nUNS") * m,
         **{f"Lat_{k}": c(f"_lat{k}") * m for k in ("N1", "N2", "N3", "REM")},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as A
 from ..operators import hypnogram as H
+from ..session import cut
 from . import base
 from .base import KEYS
 from .hyp import _STATS
@@ -123,8 +124,10 @@ QUERIES["ebe_custom_scorer"] = ebe_custom_scorer
 
 
 def stats_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    ref, obs = duo(spark, folder)
-    return tuple(H.sleep_statistics(x, KEYS).drop("scorer") for x in (ref, obs))
+    """Sleep statistics of the first and of the last scorer: one row a hypnogram, so they are written once and read by each step."""
+    stats = cut(H.sleep_statistics(base.five_stage(spark, folder), KEYS))
+    ends = stats.groupBy("session_id").agg(F.min("scorer").alias("a"), F.max("scorer").alias("b")).where("a <> b")
+    return tuple(stats.join(ends.select("session_id", F.col(c).alias("scorer")), KEYS).drop("scorer") for c in ("a", "b"))
 
 
 def differences(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,9 +18,13 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """``(session_id, scorer, epoch, code)``, last delivery; null code without a known stage."""
+    """``(session_id, scorer, epoch, code)``, last delivery; null code without a known stage.
+
+    Brought together by hypnogram at once: what follows works on whole nights,
+    so this is the only shuffle of the epochs.
+    """
     rows = table(spark, folder, "hypnogram").select(*KEYS, "epoch", "loaded_at", code_of(F.col("stage")).alias("code"))
-    return latest(rows, [*KEYS, "epoch"], "loaded_at", ["code"])
+    return latest(rows.repartition(*KEYS), [*KEYS, "epoch"], "loaded_at", ["code"])
 
 
 def hypnograms(spark: SparkSession, folder: str) -> DataFrame:

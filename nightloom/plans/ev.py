@@ -192,8 +192,7 @@ def ev_sync_average(spark, folder):
     by = ["recording_id", "channel"]
     x = spindles(spark, folder).where("start is not null").select(*by, F.floor(F.col("start") * 10).alias("sample")).distinct()
     u = x.groupBy(*by).agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"))
-    signal = u.select(*by, F.explode(F.sequence("lo", "hi")).alias("sample")).join(x.withColumn("value", F.lit(1.0)), [*by, "sample"], "left").fillna(0.0, ["value"])
-    rows = E.locked(waves(spark, folder), signal, by, "event_id", F.col("negpeak"), 10.0, 0.4, 0.8, "value")
+    rows = E.locked(waves(spark, folder), x.withColumn("value", F.lit(1.0)), by, "event_id", F.col("negpeak"), 10.0, 0.4, 0.8, "value", bounds=u)
     return E.template(rows, ["channel"], "value").withColumn("value", F.round("value", 9))
 
 
