@@ -97,7 +97,7 @@ def ebe_agreement_with_total(spark, folder):
     + """, k AS (SELECT * FROM cm), """
     + _metrics("session_id").split("s AS (SELECT")[0].rstrip().rstrip(",")
     + """, b AS (SELECT session_id, c, h AS tp, r - h AS fn, k - h AS fp, n - r - k + h AS tn, r FROM q), d AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, coalesce(tn / nullif(tn + fn, 0), 0) AS npv FROM b)
-SELECT session_id, c AS stage, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 8) AS fbeta, round(npv, 8) AS npv, round(precision, 8) AS precision, round(recall, 8) AS recall, round(specificity, 8) AS specificity, r AS support FROM d"""
+SELECT session_id, c AS stage, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 8) AS fbeta, round(npv, 8) AS npv, round(precision, 8) AS precision, round(recall, 8) AS recall, round(specificity, 8) AS specificity, r::BIGINT AS support FROM d"""
 )
 def ebe_bystage(spark, folder):
     rows = A.agreement_by_stage(A.confusion(pairs(spark, folder), ["session_id"]), ["session_id"])

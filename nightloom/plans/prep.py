@@ -48,3 +48,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+
+#: The definition of a wrong reading itself, with the scale's cut between six and eight.
+SQL = {
+    "p1_found": """WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY loaded_at DESC) AS rn FROM hrv_stage) WHERE rn = 1),
+l AS (SELECT period_id, recording_id, start, 'hr_mean' AS field, hr_mean AS v, hr_mean < 20 OR hr_mean > 250 AS bad FROM h UNION ALL SELECT period_id, recording_id, start, 'hrv_rmssd', hrv_rmssd, hrv_rmssd < 1 OR hrv_rmssd > 1000 FROM h),
+n AS (SELECT *, v IS DISTINCT FROM lag(v) OVER w AS new FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY recording_id, field ORDER BY start, period_id)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY recording_id, field ORDER BY start, period_id) AS r FROM n),
+s AS (SELECT *, count(*) OVER (PARTITION BY recording_id, field, r) >= 5 AS stuck FROM g),
+m AS (SELECT recording_id, field, quantile_disc(v, 0.5) AS mid FROM s WHERE NOT bad AND NOT stuck GROUP BY ALL),
+d AS (SELECT recording_id, field, 1.4826 * quantile_disc(abs(v - mid), 0.5) AS scale FROM s JOIN m USING (recording_id, field) WHERE NOT bad AND NOT stuck GROUP BY ALL)
+SELECT period_id, field FROM s LEFT JOIN m USING (recording_id, field) LEFT JOIN d USING (recording_id, field) WHERE bad OR stuck OR (abs(v - mid) > 7 * scale AND scale > 0)""",
+}
