@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import queries as _queries
+from . import sql as _sql
 
 
 def queries() -> dict:
@@ -10,4 +11,4 @@ def queries() -> dict:
 
 
 def sql() -> dict[str, str]:
-    return {}
+    return dict(_sql.SQL)
