@@ -27,6 +27,13 @@ LABELS = {
 }
 
 
+def spellings(n_stages: int) -> list[str]:
+    """Accepted spellings of a vocabulary: its labels, their short and older forms, and its integers."""
+    own = LABELS[n_stages]
+    words = {k for k, v in CODES.items() if v in own.values() and (k.lstrip("-").isdigit() or k in ("W", "R", "MT", "ND", *own))}
+    return sorted(words | ({"S"} if n_stages == 2 else set()) | ({"S1", "S2", "S3", "S4"} if n_stages == 5 else set()) - ({"R"} if "REM" not in own else set()))
+
+
 def tidy(spelling: Column) -> Column:
     """Upper case without surrounding white space; blank becomes null."""
     text = F.upper(F.regexp_replace(spelling, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
