@@ -250,36 +250,51 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _to_higher(x: np.ndarray, p: int, stop: int) -> int:
+    """Position of the lowest sample between ``p`` and the first higher one towards ``stop`` (not included), searched in growing stretches."""
+    step, reach, best = (1 if stop > p else -1), 64, p
+    at = p
+    while at != stop - step:
+        end = at + step * min(reach, abs(stop - step - at))
+        part = x[at + step : end + step : step] if step > 0 or end + step >= 0 else x[at + step :: step]
+        higher = np.flatnonzero(part > x[p])
+        part = part[: higher[0]] if len(higher) else part
+        if len(part) and part.min() < x[best]:
+            best = at + step * (1 + int(part.argmin()))
+        if len(higher):
+            break
+        at, reach = end, reach * 2
+    return best
+
+
+def prominences(x: np.ndarray, peaks: np.ndarray, reach: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(prominence, left base, right base)``: bases are the lowest points before a higher sample, at most ``reach`` // 2 away."""
     out = np.zeros(len(peaks)), np.zeros(len(peaks), int), np.zeros(len(peaks), int)
     half = len(x) if reach is None else max(1, int(np.ceil(reach))) // 2
-    for k, p in enumerate(peaks):
-        low, high = max(0, p - half), min(len(x), p + half + 1)
-        before, after = x[low : p + 1][::-1], x[p:high]
-        a = np.flatnonzero(before > x[p])
-        b = np.flatnonzero(after > x[p])
-        before = before[: a[0]] if len(a) else before
-        after = after[: b[0]] if len(b) else after
-        i, j = int(before.argmin()), int(after.argmin())
-        out[0][k], out[1][k], out[2][k] = x[p] - max(before[i], after[j]), p - i, p + j
+    for k, p in enumerate(peaks.tolist()):
+        i, j = _to_higher(x, p, max(-1, p - half - 1)), _to_higher(x, p, min(len(x), p + half + 1))
+        out[0][k], out[1][k], out[2][k] = x[p] - max(x[i], x[j]), i, j
     return out
 
 
+def spaced(x: np.ndarray, peaks: np.ndarray, apart: int) -> np.ndarray:
+    """Peaks without those nearer than ``apart`` to a higher one that stays (of equal ones the later stays)."""
+    keep = np.ones(len(peaks), bool)
+    low, high = np.searchsorted(peaks, peaks - apart, "right"), np.searchsorted(peaks, peaks + apart, "left")
+    for k in np.argsort(x[peaks], kind="stable")[::-1].tolist():
+        if keep[k]:
+            keep[low[k] : high[k]] = False
+            keep[k] = True
+    return peaks[keep]
+
+
 def find_peaks(x: np.ndarray, height: tuple[float, float] | None = None, distance: float | None = None, prominence: float | None = None, reach: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(peaks, prominence, left, right)`` of local maxima within a height range, at least ``distance`` apart (the higher wins), and prominent enough."""
     p = local_maxima(x)
     if height is not None:
         p = p[(x[p] >= height[0]) & (x[p] <= height[1])]
     if distance is not None and len(p):
-        apart = int(np.ceil(distance))
-        keep = np.ones(len(p), bool)
-        for k in np.argsort(x[p], kind="stable")[::-1]:
-            if keep[k]:
-                close = np.abs(p - p[k]) < apart
-                close[k] = False
-                keep[close] = False
-        p = p[keep]
+        p = spaced(x, p, int(np.ceil(distance)))
     prom, left, right = prominences(x, p, reach)
     if prominence is not None:
         good = prom >= prominence

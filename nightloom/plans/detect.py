@@ -378,7 +378,7 @@ def heartbeats(signal: DataFrame, sf: float) -> DataFrame:
         block = max(1, int(5 * sf))
         top = np.array([energy[i : i + block].max() for i in range(0, len(energy), block)])
         level = np.interp(np.arange(len(energy)), np.arange(len(top)) * block + block / 2, top)
-        peaks = dsp.find_peaks(energy, distance=0.25 * sf)[0]
+        peaks = dsp.spaced(energy, dsp.local_maxima(energy), int(np.ceil(0.25 * sf)))
         peaks = peaks[energy[peaks] > 0.25 * level[peaks]]
         half = int(0.1 * sf)
         beats = sorted({int(max(0, p - half) + np.abs(y[max(0, p - half) : p + half + 1]).argmax()) for p in peaks})

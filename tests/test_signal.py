@@ -62,6 +62,35 @@ def test_peaks():
     assert dsp.stretches(np.array([4, 5, 6, 7, 10, 11, 12, 13, 20, 21, 22, 100, 102]), 10) == [(4, 22), (100, 102)]
 
 
+def brute_peaks(x, distance, reach):
+    p = [i for i in range(1, len(x) - 1) if x[i - 1] < x[i] > x[i + 1]]
+    kept = []
+    for i in sorted(p, key=lambda i: -x[i]):
+        if all(abs(i - j) >= distance for j in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        bases = []
+        for step in (-1, 1):
+            j, best = i, i
+            while 0 <= j + step < len(x) and abs(j + step - i) <= reach // 2 and x[j + step] <= x[i]:
+                j += step
+                best = j if x[j] < x[best] else best
+            bases.append(best)
+        out.append((i, x[i] - max(x[b] for b in bases), *bases))
+    return out
+
+
+@pytest.mark.parametrize("distance,reach", [(1, 10_000), (7, 60), (25, 301)])
+def test_peaks_against_brute_force(distance, reach):
+    x = pink(3000, distance)
+    p, prom, left, right = dsp.find_peaks(x, distance=distance, reach=reach)
+    got = list(zip(p.tolist(), prom.tolist(), left.tolist(), right.tolist()))
+    want = brute_peaks(x, distance, reach)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want]) and [g[2:] for g in got] == [w[2:] for w in want]
+
+
 def test_entropy_and_outliers():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3, 2000))
