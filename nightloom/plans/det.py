@@ -75,6 +75,11 @@ def spec_stft(spark, folder):
     return detect.spectrogram(signal(spark, folder), SF)
 
 
+@query
+def spec_multitaper(spark, folder):
+    return detect.multitaper_spectrogram(signal(spark, folder), SF, window=5.0)
+
+
 @query
 def sig_filtered(spark, folder):
     return detect.filtered(signal(spark, folder), SF, 1, 30)

@@ -293,6 +293,8 @@ def epoch_arrays(signal: DataFrame, sf: float, window: float) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         x = joined(pdf)
         n = len(x) // width
+        if not n:
+            return pd.DataFrame(columns=[*_ID, "epoch", "values"])
         parts = x[: n * width].reshape(n, width)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in _ID}, "epoch": np.arange(n, dtype=np.int32), "values": list(parts)})
 
@@ -442,6 +444,21 @@ def spectrogram(signal: DataFrame, sf: float, *, window: float = 2.0, step: floa
     return signal.groupBy("recording_id", "channel").applyInPandas(work, "recording_id string, channel string, t double, freqs array<double>, power array<double>")
 
 
+def multitaper_spectrogram(signal: DataFrame, sf: float, *, window: float = 30.0, band: tuple[float, float] = (0.5, 25)) -> DataFrame:
+    """``(recording_id, channel, t, freqs, decibel)``: the data of a full-night spectrogram, one row a window."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, t, p = dsp.multitaper(joined(pdf), sf, window)
+        if not len(t):
+            return pd.DataFrame(columns=["recording_id", "channel", "t", "freqs", "decibel"])
+        keep = (f >= band[0]) & (f <= band[1])
+        with np.errstate(divide="ignore"):
+            level = 10 * np.log10(p[keep])
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "channel": pdf["channel"].iloc[0], "t": t, "freqs": [f[keep]] * len(t), "decibel": list(level.T)})
+
+    return signal.groupBy("recording_id", "channel").applyInPandas(work, "recording_id string, channel string, t double, freqs array<double>, decibel array<double>")
+
+
 def filtered(signal: DataFrame, sf: float, low: float, high: float, low_width: float | None = None, high_width: float | None = None) -> DataFrame:
     """``signal`` band-passed, one chunk a channel."""
 

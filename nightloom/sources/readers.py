@@ -113,6 +113,18 @@ def parse_edf(content: bytes) -> list[tuple[str, float, np.ndarray]]:
     return out
 
 
+def recordings_edf(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, patient, meas_date, n_records, record_sec, channels)`` of EDF headers; the date as written, for :mod:`nightloom.operators.clock`."""
+
+    def parse(content: bytes) -> Iterator[pd.DataFrame]:
+        text = lambda a, b: content[a:b].decode("latin-1").strip()
+        n = int(text(252, 256))
+        names = [text(256 + 16 * i, 272 + 16 * i) for i in range(n)]
+        yield pd.DataFrame([{"patient": text(8, 88), "meas_date": f"{text(168, 176)} {text(176, 184)}", "n_records": int(text(236, 244)), "record_sec": float(text(244, 252)), "channels": names}])
+
+    return _files(spark, path, "patient string, meas_date string, n_records int, record_sec double, channels array<string>", parse)
+
+
 def signal_edf(spark: SparkSession, path: str) -> DataFrame:
     """Signal chunks of EDF files in microvolts."""
 

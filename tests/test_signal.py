@@ -52,6 +52,17 @@ def test_spectra():
     assert f[osc.argmax()] == 10
 
 
+def test_multitaper(spark):
+    tapers = dsp.slepian(500, 4, 7)
+    assert np.allclose(tapers @ tapers.T, np.eye(7), atol=1e-9)
+    inside = np.abs(np.fft.rfft(tapers[0], 1 << 16)) ** 2
+    assert inside[: int(4 / 500 * (1 << 16))].sum() / inside.sum() > 0.999
+    f, t, p = dsp.multitaper(np.random.default_rng(0).normal(size=60000), SF, 5.0)
+    assert t[0] == 2.5 and p.shape[1] == 120 and p[5:-5].mean() * SF / 2 == pytest.approx(1, abs=0.03)
+    assert detect.multitaper_spectrogram(signal(spark, {"a": pink(9000)}), SF).count() == 3
+    assert detect.multitaper_spectrogram(signal(spark, {"a": pink(900)}), SF).count() == 0
+
+
 def test_peaks():
     x = np.array([0, 1, 0, 3, 3, 3, 0, 2, 0, 5], float)
     p, prom, left, right = dsp.find_peaks(x)
@@ -165,6 +176,7 @@ def test_artefacts(spark):
     for method in ("covar", "std"):
         bad = {r.epoch for r in detect.artefacts(epochs, method=method).where("artefact").collect()}
         assert {20, 50} <= bad and len(bad) < 8
+    assert detect.epoch_arrays(signal(spark, {"a": pink(300)}), SF, 5.0).count() == 0
     few = epochs.where("ch_idx < 3")
     assert {r.epoch for r in detect.artefacts(few).where("artefact").collect()} >= {20, 50}
 

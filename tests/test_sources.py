@@ -46,6 +46,8 @@ def test_edf_and_npz(spark, tmp_path):
     r = readers.signal_edf(spark, str(tmp_path / "e")).collect()
     assert len(r) == 1 and r[0].channel == "EEG C3" and r[0].sf == 100
     assert r[0]["values"][0] == -1000.0 and len(r[0]["values"]) == 1000
+    h = readers.recordings_edf(spark, str(tmp_path / "e")).first()
+    assert (h.meas_date, h.n_records, h.channels) == ("01.01.20 00.00.00", 10, ["EEG C3"])
     (tmp_path / "n").mkdir()
     np.savez(tmp_path / "n/a.npz", data=np.ones((2, 7000)), sf=100.0)
     rows = readers.signal_npz(spark, str(tmp_path / "n")).collect()
