@@ -25,9 +25,10 @@ def paired(ref: DataFrame, obs: DataFrame, on: Sequence[str], code: str = "code"
     return ref.select(*on, F.col(code).alias("ref")).join(obs.select(*on, F.col(code).alias("obs")), list(on)).where("ref is not null and obs is not null")
 
 
-def confusion(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, ref, obs, n)``; cells without epochs are left out."""
-    return pairs.groupBy(*by, "ref", "obs").agg(F.count(F.lit(1)).alias("n"))
+def confusion(pairs: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``(by, ref, obs, n)``; cells without epochs are left out. weight: n is its sum instead of the number of epochs."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("double"))
+    return pairs.groupBy(*by, "ref", "obs").agg(n.alias("n"))
 
 
 def full_confusion(pairs: DataFrame, by: Sequence[str], labels: Sequence[int]) -> DataFrame:
@@ -40,8 +41,8 @@ def full_confusion(pairs: DataFrame, by: Sequence[str], labels: Sequence[int]) -
 
 def _margins(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per class: ``(by, k, hit, r, c, total)`` with r epochs of the reference and c of the observer."""
-    rows = counts.select(*by, F.col("ref").alias("k"), F.col("n").alias("r"), F.lit(0).cast("bigint").alias("c"), F.when(F.col("ref") == F.col("obs"), F.col("n")).otherwise(0).alias("hit"))
-    cols = counts.select(*by, F.col("obs").alias("k"), F.lit(0).cast("bigint").alias("r"), F.col("n").alias("c"), F.lit(0).cast("bigint").alias("hit"))
+    rows = counts.select(*by, F.col("ref").alias("k"), F.col("n").alias("r"), (F.col("n") * 0).alias("c"), F.when(F.col("ref") == F.col("obs"), F.col("n")).otherwise(F.col("n") * 0).alias("hit"))
+    cols = counts.select(*by, F.col("obs").alias("k"), (F.col("n") * 0).alias("r"), F.col("n").alias("c"), (F.col("n") * 0).alias("hit"))
     per = rows.unionByName(cols).groupBy(*by, "k").agg(F.sum("hit").alias("hit"), F.sum("r").alias("r"), F.sum("c").alias("c"))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return per.withColumn("total", F.sum("r").over(whole))

@@ -84,3 +84,11 @@ def remapped(hyp: DataFrame, mapping: Mapping[int, int]) -> DataFrame:
     table = F.create_map(*[x for k, v in full.items() for x in (F.lit(k), F.lit(v))])
     found = F.try_element_at(table, F.col("code").cast("int"))
     return hyp.withColumn("code", F.when(F.col("code").isNull(), F.lit(None)).otherwise(F.coalesce(found, F.raise_error(F.concat(F.lit("no integer for "), F.col("code").cast("string"))).cast("int"))))
+
+
+def proba_violations(proba: DataFrame, keys: Sequence[str], column: str = "proba", tolerance: float = 1e-5) -> DataFrame:
+    """``(keys, epoch, total)`` of the epochs whose probabilities (a map) don't sum to 1 or lie outside [0, 1]."""
+    values = F.map_values(column)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    wrong = (F.abs(total - 1) > tolerance) | F.exists(values, lambda x: (x < 0) | (x > 1))
+    return proba.where(wrong).select(*keys, "epoch", total.alias("total"))

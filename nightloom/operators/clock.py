@@ -138,7 +138,8 @@ def instants(
     Null when the text is null or matches no pattern, when the date or time is
     impossible, when no zone is known, and when the local reading happened
     twice or never. A zone abbreviation settles which of two readings is meant;
-    one that the zone does not show at that reading gives null. Added columns
+    one that the zone does not show at that reading gives null (GMT, where the
+    zone has no such name, is offset 0). Added columns
     begin with an underscore and are dropped again; columns of ``df`` that clash
     with them are not kept.
     """
@@ -187,6 +188,8 @@ def instants(
     df = df.withColumn("_off", F.when(c("_local") & (c("_off") == 0), F.lit(None)).otherwise(c("_off")))
     df = df.withColumn("_z", F.coalesce(c("_zb"), c("_z1"), c("_z2")))
     df = df.join(F.broadcast(abbreviations(spark)), (c("_z") == c("abbr_zone")) & (c("_abbr") == c("abbr")), "left")
+    # GMT is Greenwich's offset where it isn't an abbreviation of the zone itself
+    df = df.withColumn("_off", F.when((c("_abbr") == "GMT") & c("abbr_offsets").isNull() & ~c("_local"), 0).otherwise(c("_off")))
 
     before, after = _offset(c("_wall") - _DAY, c("_z")), _offset(c("_wall") + _DAY, c("_z"))
     df = df.withColumns({"_u1": c("_wall") - before, "_u2": c("_wall") - after})

@@ -7,8 +7,9 @@ loops. Null times take no part in joins. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +21,29 @@ def circular_mean(angle: Column | str) -> Column:
     return F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle)))
 
 
-def summary(events: DataFrame, by: Sequence[str], columns: Sequence[str], agg: str = "mean", circular: Sequence[str] = (), mask: Column | None = None) -> DataFrame:
+def summary(events: DataFrame, by: Sequence[str], columns: Sequence[str], agg: str | Callable = "mean", circular: Sequence[str] = (), mask: Column | None = None) -> DataFrame:
     """``(by, Count, columns)``: events per group and the aggregate of each column (mean, median, std, min, max, sum).
 
     circular: columns of angles, averaged on the circle whatever ``agg`` is.
+    agg may be a function of a pandas Series to a number; such a group's values
+    go to one Python task, the rest is joined to them. Null group keys are groups.
     """
     rows = events if mask is None else events.where(mask)
     if not by:
         return rows
+    if callable(agg):
+
+        def reduced_value(v: pd.Series) -> float:
+            return float(agg(v))
+
+        reduce_ = F.pandas_udf(reduced_value, "double")
+        keys = [F.coalesce(F.col(b).cast("string"), F.lit("\x00")).alias(f"_g{i}") for i, b in enumerate(by)]
+        on = [f"_g{i}" for i in range(len(by))]
+        own = [c for c in columns if c not in circular]
+        keyed = rows.select("*", *keys)
+        counted = keyed.groupBy(*on).agg(*[F.first(b).alias(b) for b in by], F.count(F.lit(1)).alias("Count"), *[circular_mean(c).alias(c) for c in columns if c in circular])
+        reduced = keyed.groupBy(*on).agg(*[reduce_(F.col(c).cast("double")).alias(c) for c in own]) if own else keyed.select(*on).distinct()
+        return counted.join(reduced, on).select(*by, "Count", *columns)
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("Count"), *[(circular_mean(c) if c in circular else _AGG[agg](c)).alias(c) for c in columns])
 
 

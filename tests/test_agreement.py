@@ -23,6 +23,11 @@ def test_published_counts(spark):
     assert got == [0.659391, 0.450568, 0.456104, 0.599256, 0.658965, 0.651876]
 
 
+def test_weights(spark):
+    p = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (1, 1, 1.0)], "ref int, obs int, w double")
+    assert A.agreement(A.confusion(p, weight="w")).first().accuracy == 0.75
+
+
 def test_one_class(spark):
     r = A.agreement(counts(spark, [[5]])).first()
     assert (r.accuracy, r.kappa, r.mcc) == (1.0, None, 0.0)

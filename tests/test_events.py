@@ -62,6 +62,8 @@ def test_circular_mean_and_summary(spark):
     r = E.summary(e, ["g"], ["phase", "x"], circular=["phase"]).first()
     assert abs(abs(r.phase) - 3.14159265) < 1e-6 and r.x == 2 and r.Count == 2
     assert E.summary(e, ["g"], ["x"], "median", mask=F.col("x") > 2).first().x == 3
+    own = E.summary(e.unionByName(spark.createDataFrame([(None, 0.5, 7.0)], e.schema)), ["g"], ["phase", "x"], lambda v: v.max() - v.min(), ["phase"])
+    assert {r.g: (r.Count, r.x) for r in own.collect()} == {"a": (2, 2.0), None: (1, 0.0)}
 
 
 def test_cooccurring(spark):

@@ -99,4 +99,7 @@ def test_workflows(spark):
     assert analysis.quantile_limits(f, ["l"], ["a"], 0.0, 0.5).count() == 2
     assert analysis.zscored(f, ["l"], ["a"]).where("abs(a) = 1").count() == 4
     p = spark.createDataFrame([("a", 0, {"N2": 0.3, "W": 0.7})], "k string, epoch int, proba map<string,double>")
+    assert analysis.proba_violations(p, ["k"]).count() == 0
+    q = spark.createDataFrame([("a", 0, {"N2": 0.3, "W": 0.6}), ("a", 1, {"N2": -0.1, "W": 1.1})], p.schema)
+    assert analysis.proba_violations(q, ["k"]).count() == 2
     assert [round(r.cumulative, 6) for r in analysis.density(p, ["k"]).orderBy("label").collect()] == [0.3, 1.0]

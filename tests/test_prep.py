@@ -34,6 +34,9 @@ CASES = [
     ("2022-09-02 22:34:38 MDT", P, D, None, None, None),
     ("2019-11-03 01:30:00 EST", NY, None, None, None, us(2019, 11, 3, 6, 30)),
     ("2019-11-03 01:30:00 EDT", NY, None, None, None, us(2019, 11, 3, 5, 30)),
+    ("2022-07-02 22:34:38 GMT", P, None, None, None, us(2022, 7, 2, 22, 34, 38)),
+    ("2022-01-02 22:34:38 GMT", "Europe/London", None, None, None, us(2022, 1, 2, 22, 34, 38)),
+    ("2022-07-02 22:34:38 GMT", "Europe/London", None, None, None, None),
     ("2019-11-03 01:30:00", NY, None, None, None, None),
     ("2019-03-10 02:30:00", NY, None, None, None, None),
     ("2019-03-10 03:00:00", NY, None, None, None, us(2019, 3, 10, 7)),
@@ -150,6 +153,11 @@ def test_spikes_per_source(spark):
     assert [i for i, f in flags(df).items() if f[2]] == [40]
 
 
+def test_spikes_clashing_columns(spark):
+    df = frame(spark, ordinary(40)).withColumns({"ident": F.lit(1), "value": F.lit("x"), "field": F.lit(None), "_slice": F.lit(2), "level": F.lit(3)})
+    assert flags(df) == flags(frame(spark, ordinary(40)))
+
+
 def test_spikes_degenerate(spark):
     assert flags(frame(spark, [])) == {}
     assert flags(frame(spark, [None, None])) == {}
