@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shipped
 from . import agree, det, ev, hyp, prep, sig
 
 _MODULES = (hyp, ev, agree, sig, det, prep)
@@ -14,7 +15,7 @@ _MODULES = (hyp, ev, agree, sig, det, prep)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in _MODULES:
-        found |= module.QUERIES
+        found |= {name: shipped(query) for name, query in module.QUERIES.items()}
     return found
 
 
