@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ..session import shipped
 from . import queries as _queries
 from . import sql as _sql
 
 
 def queries() -> dict:
-    return dict(_queries.QUERIES)
+    return {name: shipped(query) for name, query in _queries.QUERIES.items()}
 
 
 def sql() -> dict[str, str]:

@@ -19,12 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
+#: Up to so many annotators their parameters (some 300 bytes each for five labels) are broadcast; beyond, joined by shuffle.
+LIGHT_ANNOTATORS = 20_000
+
+
 @dataclass(frozen=True)
 class Consensus:
     """items: ``(item keys, n_votes, n_labels, agreement, label, confidence)``; annotators: ``(annotator, n_votes, competence, accuracy, guesses)``."""
@@ -96,15 +100,26 @@ def consensus(votes: DataFrame, item: Sequence[str], annotator: str, label: str,
     prior, done = np.full(k, 1.0 / k), 0
     given = lambda p, t: F.try_element_at(p, F.col("_l") + (2 + t * k)) * (1 - p[0]) + F.when(F.col("_l") == t, p[0]).otherwise(0.0)
 
-    def posterior(table: DataFrame, by: Sequence[str], keep: Sequence, params: DataFrame, prior: np.ndarray) -> DataFrame:
-        """Posterior array ``post`` of each ``by``."""
-        likely = [F.sum(F.log(given(F.col("p"), t))).alias(f"s{t}") for t in range(k)]
-        sums = table.join(params.select("_a", "p"), "_a").groupBy(*by).agg(*keep, *likely)
-        logs = [F.col(f"s{t}") + float(np.log(prior[t])) for t in range(k)]
-        top = F.greatest(*logs)
-        sums = sums.withColumn("e", F.array(*[F.exp(x - top) for x in logs]))
-        total = sum((F.col("e")[t] for t in range(1, k)), F.col("e")[0])
-        return sums.select(*by, F.transform("e", lambda x: x / total).alias("post"))
+    together = Window.partitionBy("fp1", "fp2")
+    light = F.broadcast if params.count() <= LIGHT_ANNOTATORS else (lambda df: df)
+
+    logs = F.array(*[F.sum(F.log(given(F.col("p"), t))).over(together) for t in range(k)])
+    normed = F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
+    raised = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
+    counts = F.array(*[F.sum(F.when(F.col("_l") == g, F.col("n") * F.col("post")[t]).otherwise(0.0)) for t in range(k) for g in range(k)])
+    mass = F.array(*[F.sum(F.col("part") * F.col("post")[t]) for t in range(k)])
+    masses = [F.sum(F.col("mass")[t]) for t in range(k)]
+
+    def posteriors(params: DataFrame, prior: np.ndarray) -> DataFrame:
+        """``v`` plus ``post``: each vote with the posterior array of its pattern.
+
+        A pattern's votes lie together and are as many as its annotators, so
+        sums over them need neither a shuffle nor a join back. The prior is an
+        array literal, so every round runs the code compiled for the first.
+        """
+        weights = F.array(*[F.lit(float(x)) for x in np.log(prior)])
+        rows = v.join(light(params.select("_a", "p")), "_a").withColumn("s", F.zip_with(logs, weights, lambda a, b: a + b))
+        return rows.withColumn("e", raised).withColumn("post", normed).drop("s", "e")
 
     def improve(smooth: float | None):
         def work(batches):
@@ -125,13 +140,11 @@ def consensus(votes: DataFrame, item: Sequence[str], annotator: str, label: str,
 
     kind = dict(v.dtypes)["_a"]
     for done in range(1, rounds + 1):
-        post = posterior(v, ["fp1", "fp2"], [], params, prior)
-        met = v.join(post, ["fp1", "fp2"])
-        counts = [F.sum(F.when(F.col("_l") == g, F.col("n") * F.col("post")[t]).otherwise(0.0)) for t in range(k) for g in range(k)]
-        sums = met.groupBy("_a").agg(F.array(*counts).alias("counts"), F.array(*[F.sum(F.col("part") * F.col("post")[t]) for t in range(k)]).alias("mass"))
-        step = sums.join(params.select("_a", "p"), "_a").mapInPandas(improve(None if done <= plain_rounds else smooth), f"_a {kind}, p array<double>, moved double, mass array<double>")
+        met = posteriors(params, prior)
+        sums = met.groupBy("_a").agg(counts.alias("counts"), mass.alias("mass"))
+        step = sums.join(light(params.select("_a", "p")), "_a").mapInPandas(improve(None if done <= plain_rounds else smooth), f"_a {kind}, p array<double>, moved double, mass array<double>")
         params = cut(step)
-        told = params.agg(F.max("moved"), *[F.sum(F.col("mass")[t]) for t in range(k)]).first()
+        told = params.agg(F.max("moved"), *masses).first()
         if told[0] is None:
             break
         prior = np.array(told[1:], float)
@@ -139,16 +152,16 @@ def consensus(votes: DataFrame, item: Sequence[str], annotator: str, label: str,
         if told[0] < tolerance and done > plain_rounds + 1:
             break
 
-    settled = cut(posterior(v, ["fp1", "fp2"], [], params, prior))
+    settled = cut(posteriors(params, prior).groupBy("fp1", "fp2").agg(F.first("post").alias("post")))
     seen = items.join(settled, ["fp1", "fp2"], "left")
-    counts = [F.col(f"c{i}") for i in range(k)]
-    pairs = sum((c * (c - 1) for c in counts[1:]), counts[0] * (counts[0] - 1))
+    given_to = [F.col(f"c{i}") for i in range(k)]
+    pairs = sum((c * (c - 1) for c in given_to[1:]), given_to[0] * (given_to[0] - 1))
     best = F.array_position("post", F.array_max("post")) - 1
-    alone = sum((F.when(c > 0, i).otherwise(0) for i, c in enumerate(counts)), F.lit(0))
+    alone = sum((F.when(c > 0, i).otherwise(0) for i, c in enumerate(given_to)), F.lit(0))
     result = seen.select(
         *item,
         "n_votes",
-        sum(((c > 0).cast("int") for c in counts[1:]), (counts[0] > 0).cast("int")).alias("n_labels"),
+        sum(((c > 0).cast("int") for c in given_to[1:]), (given_to[0] > 0).cast("int")).alias("n_labels"),
         F.when(F.col("n_votes") > 1, pairs / (F.col("n_votes") * (F.col("n_votes") - 1))).alias("agreement"),
         F.coalesce(best, alone).cast("int").alias("label"),
         F.array_max("post").alias("confidence"),
