@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from ..plans import base
 
+_RUNS = (
+    base.SQL
+    + """, x AS (SELECT *, epoch - row_number() OVER (PARTITION BY session_id, scorer, code ORDER BY epoch) AS g FROM one WHERE code IS NOT NULL),
+r AS (SELECT session_id, scorer, min(epoch)::INT AS first_epoch, code, count(*)::INT AS n FROM x GROUP BY session_id, scorer, code, g)
+SELECT r.session_id, r.scorer, first_epoch, label AS stage, n AS n_epochs, round_even(n * freq_sec, 0)::INT AS duration_s FROM r JOIN ses USING (session_id, scorer) JOIN lab ON lab.n_stages = ses.n_stages AND lab.code = r.code"""
+)
+
 SQL = {
+    "p5_runs": _RUNS,
+    "p5_found": _RUNS + " WHERE n >= 2",
     "p4_found": """WITH sw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY loaded_at DESC) AS rn FROM sw_event) WHERE rn = 1),
 sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY loaded_at DESC) AS rn FROM spindle_event) WHERE rn = 1),
 j AS (SELECT sw.event_id AS sw_id, sp.event_id AS spindle_id, row_number() OVER (PARTITION BY sw.event_id ORDER BY abs(round(sp.start * 1e6) - round(negpeak * 1e6)), sp.start, sp.event_id) AS k
  FROM sw JOIN sp USING (recording_id, channel) WHERE abs(round(sp.start * 1e6) - round(negpeak * 1e6)) <= 1200000)
 SELECT sw_id, spindle_id FROM j WHERE k = 1""",
-    "p5_found": base.SQL
-    + """, x AS (SELECT *, epoch - row_number() OVER (PARTITION BY session_id, scorer, code ORDER BY epoch) AS g FROM one WHERE code IS NOT NULL),
-r AS (SELECT session_id, scorer, min(epoch)::INT AS first_epoch, code, count(*)::INT AS n FROM x GROUP BY session_id, scorer, code, g HAVING count(*) >= 2)
-SELECT r.session_id, r.scorer, first_epoch, label AS stage, n AS n_epochs, round_even(n * freq_sec, 0)::INT AS duration_s FROM r JOIN ses USING (session_id, scorer) JOIN lab ON lab.n_stages = ses.n_stages AND lab.code = r.code""",
 }
