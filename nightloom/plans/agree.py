@@ -168,14 +168,15 @@ def ssa_bias_ci(spark, folder):
 
 QUERIES["ssa_bias_ci"] = ssa_bias_ci
 
-_FIT = "SELECT f.sleep_stat, " + ", ".join(f"round({a}.b1, 6) AS {p}_slope, round({a}.b0, 6) AS {p}_intercept, round({a}.r, 6) AS {p}_r, round(sqrt((1 - {a}.r * {a}.r) * {a}.syy / {a}.sxx / ({a}.n - 2)), 6) AS {p}_stderr, round(sqrt((1 - {a}.r * {a}.r) * {a}.syy / {a}.sxx / ({a}.n - 2)) * sqrt({a}.sxx / {a}.n + {a}.mx * {a}.mx), 4) AS {p}_intercept_stderr, {a}.n AS {p}_n" for a, p in (("f", "bias"), ("g", "loa"))) + " FROM fit f JOIN fit2 g USING (sleep_stat)"
+_FIT = "SELECT f.sleep_stat, " + ", ".join(f"round({a}.b1, 6) AS {p}_slope, round({a}.b0, 6) AS {p}_intercept, round({a}.r, 6) AS {p}_r, round(sqrt((1 - {a}.r * {a}.r) * {a}.syy / {a}.sxx / nullif({a}.n - 2, 0)), 6) AS {p}_stderr, round(sqrt((1 - {a}.r * {a}.r) * {a}.syy / {a}.sxx / nullif({a}.n - 2, 0)) * sqrt({a}.sxx / {a}.n + {a}.mx * {a}.mx), 4) AS {p}_intercept_stderr, {a}.n AS {p}_n" for a, p in (("f", "bias"), ("g", "loa"))) + " FROM fit f JOIN fit2 g USING (sleep_stat)"
 
 
 @query(_DIFF + _FIT)
 def ssa_regression(spark, folder):
     """Bias and limits as lines over the reference."""
-    rows = _r(A.regressions(differences(spark, folder)), ["sleep_stat", "bias_n", "loa_n"], 6)
-    return rows.withColumns({f"{p}_intercept_stderr": F.round(f"{p}_intercept_stderr", 4) for p in ("bias", "loa")})
+    rows = A.regressions(differences(spark, folder))
+    keep = ["sleep_stat", "bias_n", "loa_n"]
+    return rows.select(*keep, *[F.round(c, 4 if c.endswith("intercept_stderr") else 6).alias(c) for c in rows.columns if c not in keep])
 
 
 @query(_DIFF + ", lr AS (SELECT sleep_stat, max((obs < 0 OR ref < 0)::INT) AS neg, stddev_samp(ln(obs + 1e-4) - ln(ref + 1e-4)) AS s FROM di GROUP BY sleep_stat) SELECT sleep_stat, round(s, 6) AS log_sd, round(2 * (exp(1.96 * s) - 1) / (exp(1.96 * s) + 1), 6) AS loa_slope FROM lr WHERE neg = 0")
