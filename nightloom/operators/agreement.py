@@ -25,6 +25,19 @@ def paired(ref: DataFrame, obs: DataFrame, on: Sequence[str], code: str = "code"
     return ref.select(*on, F.col(code).alias("ref")).join(obs.select(*on, F.col(code).alias("obs")), list(on)).where("ref is not null and obs is not null")
 
 
+def paired_ends(hyp: DataFrame, session: str, scorer: str, code: str = "code") -> DataFrame:
+    """``(session, epoch, ref, obs)`` of each session's first and last scorer by name, sessions with one scorer left out.
+
+    One pass over the epochs, brought together by session, instead of a join of
+    two passes.
+    """
+    w = Window.partitionBy(session)
+    rows = hyp.withColumns({"_a": F.min(scorer).over(w), "_b": F.max(scorer).over(w)}).where("_a <> _b")
+    pick = lambda c: F.max(F.when(F.col(scorer) == F.col(c), F.col(code)))
+    both = rows.groupBy(session, "epoch").agg(pick("_a").alias("ref"), pick("_b").alias("obs"))
+    return both.where("ref is not null and obs is not null")
+
+
 def confusion(pairs: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``(by, ref, obs, n)``; cells without epochs are left out. weight: n is its sum instead of the number of epochs."""
     n = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("double"))
@@ -41,9 +54,11 @@ def full_confusion(pairs: DataFrame, by: Sequence[str], labels: Sequence[int]) -
 
 def _margins(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per class: ``(by, k, hit, r, c, total)`` with r epochs of the reference and c of the observer."""
-    rows = counts.select(*by, F.col("ref").alias("k"), F.col("n").alias("r"), (F.col("n") * 0).alias("c"), F.when(F.col("ref") == F.col("obs"), F.col("n")).otherwise(F.col("n") * 0).alias("hit"))
-    cols = counts.select(*by, F.col("obs").alias("k"), (F.col("n") * 0).alias("r"), F.col("n").alias("c"), (F.col("n") * 0).alias("hit"))
-    per = rows.unionByName(cols).groupBy(*by, "k").agg(F.sum("hit").alias("hit"), F.sum("r").alias("r"), F.sum("c").alias("c"))
+    n, zero = F.col("n"), F.col("n") * 0
+    row = F.struct(F.col("ref").alias("k"), n.alias("r"), zero.alias("c"), F.when(F.col("ref") == F.col("obs"), n).otherwise(zero).alias("hit"))
+    column = F.struct(F.col("obs").alias("k"), zero.alias("r"), n.alias("c"), zero.alias("hit"))
+    each = counts.select(*by, F.explode(F.array(row, column)).alias("m"))
+    per = each.groupBy(*by, F.col("m.k").alias("k")).agg(F.sum("m.hit").alias("hit"), F.sum("m.r").alias("r"), F.sum("m.c").alias("c"))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return per.withColumn("total", F.sum("r").over(whole))
 

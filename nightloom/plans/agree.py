@@ -32,17 +32,8 @@ def query(sql: str | None):
     return add
 
 
-def duo(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Hypnograms of the first and of the last scorer."""
-    h = base.five_stage(spark, folder)
-    ends = h.groupBy("session_id").agg(F.min("scorer").alias("a"), F.max("scorer").alias("b")).where("a <> b")
-    pick = lambda c: h.join(ends.select("session_id", F.col(c).alias("scorer")), KEYS)
-    return pick("a"), pick("b")
-
-
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    ref, obs = duo(spark, folder)
-    return A.paired(ref, obs, ["session_id", "epoch"])
+    return A.paired_ends(base.five_stage(spark, folder), "session_id", "scorer")
 
 
 def _r(df: DataFrame, keep, digits: int = 8) -> DataFrame:

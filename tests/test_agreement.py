@@ -23,6 +23,15 @@ def test_published_counts(spark):
     assert got == [0.659391, 0.450568, 0.456104, 0.599256, 0.658965, 0.651876]
 
 
+def test_paired_ends(spark):
+    rows = [("s", "a", 0, 1), ("s", "b", 0, 2), ("s", "c", 0, 3), ("s", "c", 1, 3), ("t", "a", 0, 1), ("s", "a", 2, None), ("s", "c", 2, 4)]
+    h = spark.createDataFrame(rows, "s string, who string, epoch int, code int")
+    assert [tuple(r) for r in A.paired_ends(h, "s", "who").collect()] == [("s", 0, 1, 3)]
+    ref, obs = (h.where(F.col("who") == w) for w in "ac")
+    assert A.paired(ref, obs, ["s", "epoch"]).collect() == A.paired_ends(h, "s", "who").collect()
+    assert A.paired_ends(h.limit(0), "s", "who").count() == 0
+
+
 def test_weights(spark):
     p = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (1, 1, 1.0)], "ref int, obs int, w double")
     assert A.agreement(A.confusion(p, weight="w")).first().accuracy == 0.75
