@@ -200,6 +200,13 @@ def _beats(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("user_id", ((F.row_number().over(w) - 1) * 0.8 + (F.col("event_id") % 7) * 0.01).alias("beat"))
 
 
+def _periods(beats: DataFrame, width: float) -> DataFrame:
+    """Each user's periods of ``width`` seconds, from 0 to the one of the last beat."""
+    last = beats.groupBy("user_id").agg(F.max("beat").alias("last"))
+    periods = last.select("user_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / width).cast("int"))).alias("period"))
+    return periods.withColumns({"start": F.col("period") * width, "duration": F.lit(width)})
+
+
 @query(
     """, b AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.8 + (event_id % 7) * 0.01 AS t FROM events), p AS (SELECT user_id, k AS period, k * 20.0 AS s FROM (SELECT DISTINCT user_id FROM b), unnest(range(0, 3)) AS g(k))
 SELECT p.user_id, period, count(*) AS n_beats FROM p JOIN b ON b.user_id = p.user_id AND t >= s AND t < s + 20 GROUP BY ALL"""
@@ -207,8 +214,7 @@ SELECT p.user_id, period, count(*) AS n_beats FROM p JOIN b ON b.user_id = p.use
 def hrv_beats(spark, folder):
     """Beats in periods of 20 s."""
     b = _beats(spark, folder)
-    periods = b.select("user_id").distinct().withColumn("period", F.explode(F.array(*map(F.lit, range(3))))).withColumns({"start": F.col("period") * 20.0, "duration": F.lit(20.0)})
-    return heart.beats_in_periods(b, periods, ["user_id"], "beat", "start", "duration").groupBy("user_id", "period").agg(F.count(F.lit(1)).alias("n_beats"))
+    return heart.beats_in_periods(b, _periods(b, 20.0), ["user_id"], "beat", "start", "duration").groupBy("user_id", "period").agg(F.count(F.lit(1)).alias("n_beats"))
 
 
 @query(None)
