@@ -221,8 +221,7 @@ def hrv_beats(spark, folder):
 def hrv_rr_filter(spark, folder):
     """The same by period, one interval in five far out and interpolated."""
     b = _beats(spark, folder).withColumn("beat", F.col("beat") + F.when(F.floor("beat") % 5 == 0, 1.7).otherwise(0.0))
-    periods = b.select("user_id").distinct().withColumn("period", F.explode(F.array(*map(F.lit, range(2))))).withColumns({"start": F.col("period") * 30.0, "duration": F.lit(30.0)})
-    met = heart.beats_in_periods(b, periods, ["user_id"], "beat", "start", "duration")
+    met = heart.beats_in_periods(b, _periods(b, 30.0), ["user_id"], "beat", "start", "duration")
     return _r(heart.variability(met, ["user_id", "period"]), ["user_id", "period", "n_beats"], ["hr_mean", "hr_std", "hrv_rmssd"])
 
 

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from nightloom.plans import sig
@@ -30,3 +31,35 @@ def test_beats_of_all_periods(spark, events):
     want = Counter((user, int(t // 20)) for user, at in beats(order).items() for t in at)
     got = {(r.user_id, r.period): r.n_beats for r in sig.hrv_beats(spark, folder).collect()}
     assert got == want and sum(got.values()) == 691 and max(p for u, p in got if u == 1) == 23
+
+
+def measured(at, limit=10):
+    """Mean and SD of the heart rate and RMSSD of a period's beats, intervals of 400 to 2000 ms kept and others interpolated."""
+    rr = np.diff(sorted(at)) * 1000
+    known = np.flatnonzero((rr >= 400) & (rr <= 2000))
+    near = len(known) > 0 and all(np.abs(known - i).min() <= limit for i in range(len(rr)))
+    if not near or 60 * len(at) / 30 < 30:
+        return None, None, None
+    rr = np.interp(np.arange(len(rr)), known, rr[known])
+    hr = 60000 / rr
+    return hr.mean(), hr.std(ddof=1), np.sqrt((np.diff(rr) ** 2).mean())
+
+
+def test_intervals_of_all_periods(spark, events):
+    folder, order = events
+    periods = defaultdict(list)
+    for user, at in beats(order).items():
+        for t in at:
+            t += 1.7 if int(t) % 5 == 0 else 0.0
+            periods[user, int(t // 30)].append(t)
+    got = {(r.user_id, r.period): r for r in sig.hrv_rr_filter(spark, folder).collect()}
+    assert {k: r.n_beats for k, r in got.items()} == {k: len(at) for k, at in periods.items()}
+    assert max(p for u, p in got if u == 1) >= 15
+    known = 0
+    for key, at in periods.items():
+        for x, want in zip((got[key].hr_mean, got[key].hr_std, got[key].hrv_rmssd), measured(at)):
+            assert (x is None) == (want is None), key
+            if want is not None:
+                known += 1
+                assert x == pytest.approx(want, abs=2e-6), key
+    assert known >= 45
