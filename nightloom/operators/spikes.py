@@ -1,8 +1,8 @@
 """Readings that cannot be right for their source.
 
 Peaks over threshold: the residual of each reading from its season's level (the
-stage, and the stretch of the night where that holds enough readings) is
-standardised, a generalised Pareto tail is fitted per source to the excesses
+stage, and the stretch of the night where that holds enough readings; readings
+far from the source's middle level don't count for it) is standardised, a generalised Pareto tail is fitted per source to the excesses
 over a high quantile, and its quantile at a fixed risk is the source's cutoff.
 Readings of a plausibility table and long runs of equal values are flagged
 beside it and left aside in every estimate. Only aggregates are shuffled; a
@@ -106,21 +106,21 @@ def flag(
     key = ["skey", "field"]
     rows = cut(rows)  # read by every estimate below; else each would sort the runs again
 
-    usable = rows.where("usable").select("skey", "field", F.coalesce(F.col("season").cast("string"), F.lit("")).alias("s"), F.coalesce("block", F.lit(-1)).alias("b"), "value")
-    level = usable.groupBy(*key).agg(_median("value").alias("level"), F.count(F.lit(1)).alias("total"))
-    by_stage = usable.groupBy(*key, "s").agg(_median("value").alias("m1"), F.count(F.lit(1)).alias("n1"))
-    by_block = usable.groupBy(*key, "s", "b").agg(_median("value").alias("m2"), F.count(F.lit(1)).alias("n2"))
+    robust = lambda m, a: F.when(F.col(m) > 0, F.col(m) * 1.4826).otherwise(F.col(a) * 1.2533)
+    level = rows.where("usable").groupBy(*key).agg(_median("value").alias("level"), F.count(F.lit(1)).alias("total"))
+    rows = rows.join(level, key, "left").withColumn("off", F.abs(F.col("value") - F.col("level")))
+    scales = rows.where("usable").groupBy(*key).agg(_median("off").alias("o"), F.avg("off").alias("oa")).select(*key, robust("o", "oa").alias("scale"))
+    rows = cut(rows.join(scales, key, "left").withColumns({"s": F.coalesce(F.col("season").cast("string"), F.lit("")), "b": F.coalesce("block", F.lit(-1))}))
+
+    near = rows.where("usable").withColumn("near", F.when(F.col("off") <= spread * F.col("scale"), F.col("value")))  # else a cell of mostly wrong readings has their level
+    by_stage = near.groupBy(*key, "s").agg(_median("near").alias("m1"), F.count("near").alias("n1"))
+    by_block = near.groupBy(*key, "s", "b").agg(_median("near").alias("m2"), F.count("near").alias("n2"))
     season_level = by_block.join(by_stage, [*key, "s"]).select(*key, "s", "b", F.when(F.col("n2") >= cell, F.col("m2")).when(F.col("n1") >= cell, F.col("m1")).alias("seasonal"))
 
-    rows = rows.withColumns({"s": F.coalesce(F.col("season").cast("string"), F.lit("")), "b": F.coalesce("block", F.lit(-1))})
-    rows = rows.join(level, key, "left").join(season_level, [*key, "s", "b"], "left")
-    rows = rows.withColumns({"off": F.abs(F.col("value") - F.col("level")), "residual": F.col("value") - F.coalesce("seasonal", "level")})
+    rows = rows.join(season_level, [*key, "s", "b"], "left").withColumn("residual", F.col("value") - F.coalesce("seasonal", "level"))
     rows = cut(rows.drop("s", "b", "block", "seasonal"))
-    spreads = rows.where("usable").groupBy(*key).agg(
-        _median("off").alias("o"), F.avg("off").alias("oa"), _median(F.abs("residual")).alias("r"), F.avg(F.abs("residual")).alias("ra"), F.percentile_approx(F.abs("residual"), threshold, _EXACT).alias("u0")
-    )
-    robust = lambda m, a: F.when(F.col(m) > 0, F.col(m) * 1.4826).otherwise(F.col(a) * 1.2533)
-    spreads = spreads.select(*key, robust("o", "oa").alias("scale"), robust("r", "ra").alias("rscale"), "u0")
+    spreads = rows.where("usable").groupBy(*key).agg(_median(F.abs("residual")).alias("r"), F.avg(F.abs("residual")).alias("ra"), F.percentile_approx(F.abs("residual"), threshold, _EXACT).alias("u0"))
+    spreads = spreads.select(*key, robust("r", "ra").alias("rscale"), "u0")
     rows = rows.join(spreads, key, "left")
     y = F.try_divide(F.abs("residual"), F.col("rscale"))
     u = F.try_divide(F.col("u0"), F.col("rscale"))
