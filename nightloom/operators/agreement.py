@@ -38,6 +38,13 @@ def paired_ends(hyp: DataFrame, session: str, scorer: str, code: str = "code") -
     return both.where("ref is not null and obs is not null")
 
 
+def paired_first(hyp: DataFrame, session: str, scorer: str, code: str = "code") -> DataFrame:
+    """``(session, observer, epoch, ref, obs)``: each session's first scorer by name as the reference of every other one."""
+    first = F.min(scorer).over(Window.partitionBy(session))
+    rows = hyp.withColumn("_a", first).withColumn("ref", F.max(F.when(F.col(scorer) == F.col("_a"), F.col(code))).over(Window.partitionBy(session, "epoch")))
+    return rows.where((F.col(scorer) != F.col("_a")) & F.col("ref").isNotNull() & F.col(code).isNotNull()).select(session, F.col(scorer).alias("observer"), "epoch", "ref", F.col(code).alias("obs"))
+
+
 def confusion(pairs: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``(by, ref, obs, n)``; cells without epochs are left out. weight: n is its sum instead of the number of epochs."""
     n = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("double"))

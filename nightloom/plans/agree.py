@@ -73,6 +73,19 @@ def ebe_agreement(spark, folder):
     return _r(A.agreement(A.confusion(pairs(spark, folder), ["session_id"]), ["session_id"]), ["session_id"])
 
 
+_EVERY = """, fst AS (SELECT session_id, min(scorer) AS a FROM five GROUP BY session_id),
+k AS (SELECT x.session_id, y.scorer AS observer, x.code AS ref, y.code AS obs, count(*) AS n FROM fst JOIN five x ON x.session_id = fst.session_id AND x.scorer = fst.a JOIN five y ON y.session_id = x.session_id AND y.scorer <> fst.a AND y.epoch = x.epoch GROUP BY ALL)
+"""
+
+
+@query(_EVERY + ", " + _metrics("session_id, observer") + f"SELECT session_id, observer, {_M} FROM m")
+def ebe_agreement_observers(spark, folder):
+    """The first scorer with every other one of the session, so that no scorer's epochs are left out."""
+    keys = ["session_id", "observer"]
+    every = A.paired_first(base.five_stage(spark, folder), "session_id", "scorer")
+    return _r(A.agreement(A.confusion(every, keys), keys), keys)
+
+
 @query(_DUO + ", k AS (SELECT ref, obs, sum(n) AS n FROM cm GROUP BY ALL), " + _metrics(None) + f"SELECT {_M} FROM m")
 def ebe_agreement_pooled(spark, folder):
     return _r(A.agreement(A.confusion(pairs(spark, folder))), [])
