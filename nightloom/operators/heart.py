@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hypnogram import runs
 from .windows import fill_gaps
 
 
@@ -47,3 +49,20 @@ def variability(beats: DataFrame, period: Sequence[str], t: str = "beat", rr_lim
     ok = (F.col("_bad") == 0) & (60 * F.col("n_beats") / F.col("_d") >= 30)
     met = counts.join(stats, list(period), "left")
     return met.select(*period, "n_beats", *[F.when(ok, F.col(c)).alias(c) for c in ("hr_mean", "hr_std", "hrv_rmssd")])
+
+
+def by_stage(hyp: DataFrame, beats: DataFrame, keys: Sequence[str], epoch_sec: float, t: str = "beat", include: Sequence[int] = (2, 3, 4), threshold: float = 120.0, equal_length: bool = False, rr_limit: tuple[float, float] = (400, 2000)) -> DataFrame:
+    """``(keys, stage, epoch, start, duration, n_beats, hr_mean, hr_std, hrv_rmssd)`` of each period of an included stage.
+
+    hyp: ``(keys, epoch, code)``, epochs of ``epoch_sec`` seconds. A period is a
+    run of one stage of ``threshold`` seconds or more (``equal_length``: pieces
+    of just that); epoch numbers those of a stage. A period without beats keeps
+    its row, with null values.
+    """
+    least = max(math.ceil(threshold / epoch_sec), 1)
+    found = runs(hyp, keys, least, equal_length).where(F.col("value").isin(*include))
+    periods = found.select(*keys, F.col("value").alias("stage"), (F.col("start") * float(epoch_sec)).alias("start"), (F.col("length") * float(epoch_sec)).alias("duration"))
+    periods = number_periods(periods, keys, "stage", "start")
+    ident = [*keys, "stage", "epoch"]
+    measured = variability(beats_in_periods(beats, periods, keys, t, "start", "duration"), ident, rr_limit=rr_limit)
+    return periods.join(measured, ident, "left").select(*ident, "start", "duration", F.coalesce("n_beats", F.lit(0)).alias("n_beats"), "hr_mean", "hr_std", "hrv_rmssd")
