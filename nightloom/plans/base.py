@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hypnogram as H
 from ..stages import CODES, LABELS, code_of
-from ..tables import latest, table
+from ..tables import last_code, latest, table
 
 KEYS = ["session_id", "scorer"]
 
@@ -24,7 +24,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     so this is the only shuffle of the epochs.
     """
     rows = table(spark, folder, "hypnogram").select(*KEYS, "epoch", "loaded_at", code_of(F.col("stage")).alias("code"))
-    return latest(rows.repartition(*KEYS), [*KEYS, "epoch"], "loaded_at", ["code"])
+    return last_code(rows.repartition(*KEYS), [*KEYS, "epoch"], "loaded_at", F.col("code"), "code")
 
 
 def hypnograms(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,6 +22,7 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -53,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` as the small side of a join: broadcast if it holds at most ``rows`` rows, which are counted now, else joined by sort-merge.
+
+    The optimizer's own size check isn't asked: behind a checkpoint or an
+    aggregate it goes by compressed bytes of other rows.
+    """
+    few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -34,10 +34,13 @@ def spellings(n_stages: int) -> list[str]:
     return sorted(words | ({"S"} if n_stages == 2 else set()) | ({"S1", "S2", "S3", "S4"} if n_stages == 5 else set()) - ({"R"} if "REM" not in own else set()))
 
 
+# White space around a spelling (ASCII's, and Unicode's separators).
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def tidy(spelling: Column) -> Column:
     """Upper case without surrounding white space; blank becomes null."""
-    text = F.upper(F.regexp_replace(spelling, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.nullif(text, F.lit(""))
+    return F.nullif(F.upper(F.btrim(spelling, F.lit(BLANKS))), F.lit(""))
 
 
 def code_of(spelling: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,15 @@ def latest(df: DataFrame, key: Sequence[str], version: str, columns: Sequence[st
     rest = [c for c in columns if c not in key]
     picked = df.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("_v"), *[F.col(c) for c in rest])).alias("_r"))
     return picked.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def last_code(df: DataFrame, key: Sequence[str], version: str, code: Column, name: str) -> DataFrame:
+    """``(key, name)``: what :func:`latest` gives for one small whole number, as the greatest of one packed number.
+
+    code: -7..7 or null. A plain ``max`` of numbers is hashed where that of a
+    struct is sorted. version: a timestamp, to the microsecond. Equal versions:
+    the greatest code; a null version is oldest, a null code smallest.
+    """
+    at = F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(1 << 58)))
+    packed = df.groupBy(*key).agg(F.max(at * 16 + F.coalesce(code.cast("bigint"), F.lit(-8)) + 8).alias("_p"))
+    return packed.select(*key, F.nullif(F.pmod("_p", F.lit(16)) - 8, F.lit(-8)).cast("int").alias(name))
