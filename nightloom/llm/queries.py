@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded
 from ..stages import code_of, label_of
 from ..tables import latest, table
 from .consensus import Consensus, consensus
@@ -30,10 +31,10 @@ def _hypnograms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _consensus(spark: SparkSession, folder: str) -> Consensus:
-    """Votes of all five-stage hypnograms; artefacts, unscored and unknown stages are none."""
+    """Votes of all five-stage hypnograms, with the scorers' habits; artefacts, unscored and unknown stages are none."""
     other = _hypnograms(spark, folder).where("n_stages <> 5").select("session_id", "scorer")
-    votes = _epochs(spark, folder).where("code between 0 and 4").join(other, ["session_id", "scorer"], "left_anti")
-    return consensus(votes, ["session_id", "epoch"], "scorer", "code", 5)
+    rows = table(spark, folder, "hypnogram").select("session_id", "scorer", "epoch", "loaded_at", code_of(F.col("stage")).alias("code"))
+    return consensus(rows.join(bounded(other), ["session_id", "scorer"], "left_anti"), ["session_id", "epoch"], "scorer", "code", 5, version="loaded_at")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,10 +36,11 @@ def test_beats_majority(spark):
     assert who["g1"].n_votes == len(truth) and len(who["g1"].guesses) == 25
 
 
-def test_patterns_equal_plain_em(spark):
-    """The pattern-reduced joins give what EM over single votes in NumPy gives."""
+@pytest.mark.parametrize("listed", [20_000, 2])
+def test_equals_plain_em(spark, listed):
+    """Both layouts, parameters in the tasks and parameters joined, give what EM over single votes in NumPy gives."""
     truth, votes = planted(spark, 150, 3)
-    got = C.consensus(votes, ["item"], "who", "label", 5, plain_rounds=3, rounds=6, tolerance=0.0)
+    got = C.consensus(votes, ["item"], "who", "label", 5, plain_rounds=3, rounds=6, tolerance=0.0, listed=listed)
     pdf = votes.toPandas()
     names = sorted(pdf.who.unique())
     a, item, lab = pdf.who.map(names.index).to_numpy(), pdf.item.to_numpy(), pdf.label.to_numpy()
@@ -65,18 +66,39 @@ def test_patterns_equal_plain_em(spark):
     assert (items.label.to_numpy() == q.argmax(1)).all()
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("listed", [20_000, 1])
+def test_last_version_counts(spark, listed):
+    s = "item int, who string, at string, label int"
+    rows = [(1, "a", "2020-01-01", 2), (1, "a", "2021-01-01", 3), (1, "b", None, 4), (1, "b", "1999-01-01", 0), (2, "a", "2020-01-01", 1), (2, "a", "2021-01-01", None), (2, "b", "2020-01-01", 1), (2, "b", "2020-01-01", 2)]
+    votes = spark.createDataFrame(rows, s).withColumn("at", F.to_timestamp_ntz("at"))
+    got = C.consensus(votes, ["item"], "who", "label", 5, version="at", rounds=2, plain_rounds=1, listed=listed, tolerance=1.0)
+    items = {r.item: r for r in got.items.collect()}
+    assert (items[1].n_votes, items[1].n_labels) == (2, 2) and items[1].label in (0, 3)
+    assert (items[2].n_votes, items[2].label) == (1, 2)
+    unversioned = {r.item: r for r in C.consensus(votes, ["item"], "who", "label", 5, rounds=2, plain_rounds=1, listed=listed, tolerance=1.0).items.collect()}
+    assert (unversioned[1].n_votes, unversioned[2].n_votes) == (4, 3)
+
+
+def test_plain_mixture_has_one_guess_distribution(spark):
+    _, votes = planted(spark, 200, 5)
+    for r in C.consensus(votes, ["item"], "who", "label", 5, habits=None).annotators.collect():
+        g = np.array(r.guesses).reshape(5, 5)
+        assert np.allclose(g, g[0])
+
+
+@pytest.mark.parametrize("listed", [20_000, 0])
+def test_edges(spark, listed):
     s = "item int, x string, who string, label int"
     rows = [(1, None, "a", 2), (1, None, "b", 2), (2, "k", "a", 0), (3, "k", None, 1), (3, "k", "a", None), (3, "k", "b", 9), (4, "k", "a", 1), (4, "k", "b", 3)]
-    got = C.consensus(spark.createDataFrame(rows, s), ["item", "x"], "who", "label", 5)
+    got = C.consensus(spark.createDataFrame(rows, s), ["item", "x"], "who", "label", 5, listed=listed)
     items = {r.item: r for r in got.items.collect()}
     assert set(items) == {1, 2, 4}
     assert (items[1].label, items[1].agreement, items[1].n_labels) == (2, 1.0, 1)
     assert (items[2].label, items[2].agreement, items[2].confidence) == (0, None, None)
     assert items[4].agreement == 0.0 and items[4].label in (1, 3)
-    empty = C.consensus(spark.createDataFrame([], s), ["item"], "who", "label", 5)
+    empty = C.consensus(spark.createDataFrame([], s), ["item"], "who", "label", 5, listed=listed)
     assert empty.items.count() == 0 and empty.annotators.count() == 0
-    single = C.consensus(spark.createDataFrame([(1, "k", "a", 2)], s), ["item"], "who", "label", 5)
+    single = C.consensus(spark.createDataFrame([(1, "k", "a", 2)], s), ["item"], "who", "label", 5, listed=listed)
     assert single.items.first().label == 2 and single.annotators.first().accuracy is None
-    extra = C.consensus(spark.createDataFrame(rows, s).withColumn("_a", F.lit(1)).withColumn("fp1", F.lit(2)), ["item"], "who", "label", 5)
+    extra = C.consensus(spark.createDataFrame(rows, s).withColumn("_a", F.lit(1)).withColumn("fp1", F.lit(2)), ["item"], "who", "label", 5, listed=listed)
     assert extra.items.count() == 3
