@@ -6,8 +6,11 @@ settled afterwards from a few rows a slice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,45 @@ def equal_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     out = rows.alias("a").join(edges.alias("b"), condition, "left")
     kept = [c for c in rows.columns if c not in ("_slice", "_run", "_len", "_last", "run_length")]
     return out.select(*[F.col(f"a.{c}") for c in kept], F.coalesce("_edge", "_len").alias("run_length"))
+
+
+def changes(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Where a row's key differs from the row before; nulls are equal to each other."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for name in names:
+        col = batch.column(name)
+        a, b = col.slice(0, n - 1), col.slice(1)
+        differs = pc.fill_null(pc.not_equal(a, b), False)
+        nulls = pc.not_equal(pc.is_null(a), pc.is_null(b))
+        new[1:] |= pc.or_(differs, nulls).to_numpy(zero_copy_only=False)
+    return new
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str], work: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``work(rows, number of each row's group from 0)`` over batches of whole groups; rows must come grouped.
+
+    The last group of a batch waits for the next one.
+    """
+    rest: list[pa.RecordBatch] = []
+    at = lambda batch, i: [batch.column(name)[i].as_py() for name in names]
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if len(rest) > 1 and at(rest[0], 0) == at(batch, batch.num_rows - 1):
+            continue  # still one group
+        whole = joined()
+        new = changes(whole, names)
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield from work(whole.slice(0, last), np.cumsum(new[:last]) - 1)
+        rest = [whole.slice(last)]
+    if rest:
+        whole = joined()
+        yield from work(whole, np.cumsum(changes(whole, names)) - 1)
