@@ -182,6 +182,7 @@ def flag(
     stretch: float = 7200.0,
     slice_width: float = 1_000_000.0,
     whole: int = WHOLE,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """One row per non-null reading with what is wrong with it.
 
@@ -207,10 +208,13 @@ def flag(
     readings; a source whose usable readings are all equal has no extremes. An
     empty table gives an empty one. Runs jobs when called. Sources of more than
     ``whole`` rows aren't gathered into a task; ``slice_width`` then bounds the
-    rows sorted in one (time units).
+    rows sorted in one (time units). sizing: a table that holds a source at
+    least as often as ``df`` and is cheaper to count, such as the one ``df`` was
+    made from.
     """
     kept = df.select(F.col(ident).alias("ident"), F.col(source).alias("source"), F.col(time).cast("double").alias("time"), F.col(season).alias("season"), *[F.col(f).cast("double").alias(f) for f in fields])
-    sizes = kept.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select(F.col("source").alias("_hot"), F.lit(True).alias("_is"))
+    counted = (df if sizing is None else sizing).groupBy(F.col(source).alias("_hot")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.where(F.col("n") > whole).select("_hot", F.lit(True).alias("_is"))
     sizes = cut(sizes)
     apart = not sizes.isEmpty()
     told = [stuck_runs, stretch, window, pull]

@@ -14,8 +14,9 @@ PLAUSIBLE = {"hr_mean": (20.0, 250.0), "hrv_rmssd": (1.0, 1000.0)}
 
 def flagged_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Every reading of hrv_stage with its flags; a period delivered again counts once, in its last form."""
-    periods = latest(table(spark, folder, "hrv_stage"), ["period_id"], "loaded_at", ["recording_id", "stage", "start", *PLAUSIBLE])
-    return spikes.flag(periods, ident="period_id", source="recording_id", time="start", season="stage", fields=PLAUSIBLE)
+    delivered = table(spark, folder, "hrv_stage")
+    periods = latest(delivered, ["period_id"], "loaded_at", ["recording_id", "stage", "start", *PLAUSIBLE])
+    return spikes.flag(periods, ident="period_id", source="recording_id", time="start", season="stage", fields=PLAUSIBLE, sizing=delivered)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_the_tail_decides(spark):
     rng = np.random.default_rng(3)
     light = rng.normal(size=6000).clip(-3.2, 3.2)
     heavy = light.copy()
-    heavy[rng.choice(6000, 360, replace=False)] = rng.choice([-1, 1], 360) * rng.uniform(3.5, 5.8, 360)
+    heavy[rng.choice(6000, 240, replace=False)] = rng.choice([-1, 1], 240) * rng.uniform(3.5, 5.8, 240)
     found = {}
     for name, z in (("light", light), ("heavy", heavy)):
         z[3000] = 6.5
@@ -53,7 +53,7 @@ def test_the_tail_decides(spark):
         got = flagged(df)
         found[name] = ({r.ident for r in got.where("extreme").collect()}, got.first().cutoff)
     assert found["light"][0] == {3000} and found["heavy"][0] == set()
-    assert found["light"][1] < 5.5 and found["heavy"][1] > 6.6
+    assert found["light"][1] < 5.5 and found["heavy"][1] > 6.4
 
 
 def test_cutoffs_are_drawn_to_all_sources():
@@ -65,7 +65,8 @@ def test_cutoffs_are_drawn_to_all_sources():
     many[0, 80:] = 1e6
     at = lambda own: spikes.tail_cutoffs(own, common, 5e-5, 0.01, 3000.0)[0]
     none = at(np.zeros((1, bins)))
-    assert none < at(few) < at(many)
+    assert none < at(few)
+    assert at(many) == pytest.approx(spikes.tail_cutoffs(many, many[0], 5e-5, 0.01, 3000.0)[0], rel=0.01)
     assert np.isnan(spikes.tail_cutoffs(few, np.zeros(bins), 5e-5, 0.01, 3000.0)).all()
 
 
