@@ -7,9 +7,12 @@ functions, one recording's channel at a time.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 
+_BLOCK = 1 << 15  # samples resampled at a time
+
 
 def fast_length(n: int) -> int:
     """The smallest 2-3-5-smooth number not below ``n``, quick for FFTs."""
@@ -142,17 +145,24 @@ def stft(x: np.ndarray, sf: float, window: float = 2.0, step: float = 0.2, band:
     return f[keep], np.arange(power.shape[1]) * hop / sf, power
 
 
+@lru_cache(maxsize=16)
 def slepian(n: int, bandwidth: float, k: int) -> np.ndarray:
-    """The first ``k`` Slepian tapers of ``n`` samples for a time-bandwidth product, by inverse iteration on their tridiagonal matrix."""
+    """The first ``k`` Slepian tapers of ``n`` samples for a time-bandwidth product.
+
+    They are eigenvectors of a tridiagonal matrix that turns polynomials into
+    ones of two degrees more, so low-degree Legendre polynomials hold them to
+    rounding, at any length.
+    """
     t = np.arange(n)
     diagonal = ((n - 1 - 2 * t) / 2) ** 2 * np.cos(2 * np.pi * bandwidth / n)
     off = t[1:] * (n - t[1:]) / 2
-    w, v = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1)) if n <= 2048 else (None, None)
-    if v is None:  # long windows: tapers of a shorter one, stretched
-        short = slepian(2048, bandwidth, k)
-        stretched = np.stack([np.interp(np.linspace(0, 2047, n), np.arange(2048), s) for s in short])
-        return stretched / np.sqrt((stretched**2).sum(1, keepdims=True))
-    tapers = v[:, ::-1][:, :k].T
+    degree = min(n, 48 + 8 * int(np.ceil(bandwidth)) + 2 * k)
+    basis = np.linalg.qr(np.polynomial.legendre.legvander((2 * t - n + 1) / max(n - 1, 1), degree - 1))[0]
+    image = diagonal[:, None] * basis
+    image[1:] += off[:, None] * basis[:-1]
+    image[:-1] += off[:, None] * basis[1:]
+    small = basis.T @ image
+    tapers = (basis @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :k]).T
     return tapers * np.where(tapers.sum(1) < 0, -1, 1)[:, None]
 
 
@@ -173,7 +183,7 @@ def at_samples(t: np.ndarray, v: np.ndarray, n: int, sf: float) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Rational resampling with a Kaiser-windowed low-pass at the lower Nyquist frequency (polyphase, by FFT blocks)."""
+    """Rational resampling with a Kaiser-windowed low-pass at the lower Nyquist frequency (polyphase, in blocks of output)."""
     g = np.gcd(up, down)
     up, down = up // g, down // g
     if up == down == 1:
@@ -191,12 +201,16 @@ def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
     for p in range(up):
         part = h[p::up]
         phases[p, : len(part)] = part
-    k = np.arange(out_n) * down + half
-    first, phase = k // up, k % up
-    reach = first[:, None] - np.arange(taps)
-    inside = (reach >= 0) & (reach < n)
-    rows = np.asarray(x, float)[..., np.where(inside, reach, 0)] * np.where(inside, 1.0, 0.0)
-    return (rows * phases[phase]).sum(-1)
+    x = np.asarray(x, float)
+    out = np.empty((*x.shape[:-1], out_n))
+    for at in range(0, out_n, _BLOCK):
+        k = np.arange(at, min(at + _BLOCK, out_n)) * down + half
+        first, phase = k // up, k % up
+        reach = first[:, None] - np.arange(taps)
+        inside = (reach >= 0) & (reach < n)
+        rows = x[..., np.where(inside, reach, 0)]
+        out[..., at : at + len(k)] = np.einsum("...ij,ij->...i", rows, phases[phase] * inside)
+    return out
 
 
 def irasa(x: np.ndarray, sf: float, band: tuple[float, float] = (1, 30), factors: np.ndarray | None = None, window: float = 4.0, average: str = "median") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

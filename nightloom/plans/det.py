@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import detect, simulate, staging
-from .base import KEYS, hypnograms
+from .base import KEYS, hypnograms, scored
 
 SF = 100.0
+BANDS = [(0.5, 4, "Delta"), (4, 8, "Theta"), (8, 12, "Alpha"), (12, 16, "Sigma"), (16, 30, "Beta")]
 QUERIES = {}
 
 
@@ -25,6 +26,28 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.lit("E1").alias("recording_id"), F.concat(F.lit("CH"), F.col("label").cast("string")).alias("channel"), F.col("label").cast("int").alias("ch_idx"), ((F.row_number().over(w) - 1) * 64).cast("bigint").alias("start_sample"), F.transform("embedding", lambda x: x.cast("double") * 150).alias("values"))
 
 
+def staged(spark: SparkSession, folder: str) -> DataFrame:
+    """A hypnogram for that recording: the epochs of the first scored one, five seconds each."""
+    first = scored(spark, folder).agg(F.min(F.struct(*KEYS)).alias("f"))
+    rows = scored(spark, folder).join(F.broadcast(first), (F.col("session_id") == F.col("f.session_id")) & (F.col("scorer") == F.col("f.scorer")))
+    return rows.select(F.lit("E1").alias("recording_id"), "epoch", "code")
+
+
+@query
+def det_spindles_staged(spark, folder):
+    return detect.spindles(signal(spark, folder), SF, staged(spark, folder), freq_sec=5.0, corr=0.3, rms=0.5, duration=(0.2, 3))
+
+
+@query
+def det_slow_waves_staged(spark, folder):
+    return detect.slow_waves(signal(spark, folder), SF, staged(spark, folder), freq_sec=5.0, include=(1, 2, 3), amp_neg=(1, 300), amp_pos=(1, 300), amp_ptp=(2, 600))
+
+
+@query
+def spec_bandpower_stage(spark, folder):
+    return detect.bandpower(signal(spark, folder), SF, BANDS, staged(spark, folder), freq_sec=5.0, include=(0, 1, 2, 3, 4))
+
+
 @query
 def det_spindles(spark, folder):
     return detect.spindles(signal(spark, folder), SF, corr=0.3, rms=0.5, duration=(0.2, 3))
@@ -62,7 +85,7 @@ def spec_welch(spark, folder):
 
 @query
 def spec_bandpower(spark, folder):
-    return detect.bandpower(signal(spark, folder), SF, [(0.5, 4, "Delta"), (4, 8, "Theta"), (8, 12, "Alpha"), (12, 16, "Sigma"), (16, 30, "Beta")])
+    return detect.bandpower(signal(spark, folder), SF, BANDS)
 
 
 @query

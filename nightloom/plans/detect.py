@@ -9,8 +9,9 @@ Chunks are put in order and joined inside the kernel; a gap counts as zeros.
 
 Every detector gives event rows, none where the reference would give nothing;
 channels without chunks, empty chunks and null values (taken as zeros) are no
-error. Stages are taken from the recording's own table and are unscored beyond
-its end. Channels whose trimmed SD isn't within 0.1 to 1000 are skipped.
+error. Stages are taken from the recording's own table by the number of the
+epoch and are unscored where it has none; a recording without a hypnogram is
+unscored from end to end, if stages are given at all. Channels whose trimmed SD isn't within 0.1 to 1000 are skipped.
 """
 
 from __future__ import annotations
@@ -29,12 +30,20 @@ _ID = ["recording_id", "channel", "ch_idx"]
 
 
 def with_stages(signal: DataFrame, stages: DataFrame | None) -> DataFrame:
-    """``signal`` with the recording's stage codes as an array in its first chunks: a night's epochs, about a thousand numbers."""
+    """``signal`` plus ``codes``, and a row a channel that has no samples but the recording's ``epoch, code, epoch, code, ...`` there.
+
+    The samples meet no join: the hypnogram comes as one more row of a channel's
+    group. A recording without one has an empty list.
+    """
+    none = F.lit(None).cast("array<int>")
+    parts = signal.select(*_ID, "start_sample", "values", none.alias("codes"))
     if stages is None:
-        return signal.withColumn("codes", F.lit(None).cast("array<int>"))
-    listed = stages.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("epoch", "code"))).alias("s"))
-    listed = listed.select("recording_id", F.transform("s", lambda x: x["code"].cast("int")).alias("codes"), F.lit(0).cast("bigint").alias("start_sample"))
-    return signal.join(listed, ["recording_id", "start_sample"], "left")
+        return parts
+    known = stages.where("epoch >= 0").groupBy("recording_id").agg(F.collect_list(F.array(F.col("epoch").cast("int"), F.coalesce(F.col("code").cast("int"), F.lit(-2)))).alias("s"))
+    channels = signal.select(*_ID).distinct().join(known, "recording_id", "left")
+    codes = F.coalesce(F.flatten("s"), F.array().cast("array<int>"))
+    types = dict(parts.dtypes)
+    return parts.unionByName(channels.select(*_ID, *[F.lit(None).cast(types[c]).alias(c) for c in ("start_sample", "values")], codes.alias("codes")))
 
 
 def joined(pdf: pd.DataFrame) -> np.ndarray:
@@ -50,13 +59,16 @@ def joined(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def stage_at(pdf: pd.DataFrame, n: int, sf: float, freq_sec: float) -> np.ndarray | None:
-    """Stage code of each sample; null without a hypnogram."""
-    found = [c for c in pdf["codes"] if c is not None and len(np.atleast_1d(c))]
+    """Stage code of each sample by its epoch's number, unscored where the hypnogram has none; null where no stages were given."""
+    found = [c for c in pdf["codes"] if c is not None]
     if not found:
         return None
-    codes = np.asarray(found[0], int)
+    pairs = np.asarray(found[0], int).reshape(-1, 2)
     epoch = (np.arange(n) / (freq_sec * sf)).astype(int)
-    return np.where(epoch < len(codes), codes[np.minimum(epoch, len(codes) - 1)], -2)
+    codes = np.full(int(epoch.max(initial=0)) + 1, -2)
+    pairs = pairs[pairs[:, 0] < len(codes)]
+    codes[pairs[:, 0]] = pairs[:, 1]
+    return codes[epoch]
 
 
 def usable(x: np.ndarray) -> bool:
