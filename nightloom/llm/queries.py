@@ -19,12 +19,6 @@ from .tokens import with_token_counts
 STAGES = ("WAKE", "N1", "N2", "N3", "REM")
 
 
-def _epochs(spark: SparkSession, folder: str) -> DataFrame:
-    """``(session_id, scorer, epoch, code)``: each scored epoch once, in its last delivery; null without a known stage."""
-    rows = table(spark, folder, "hypnogram").select("session_id", "scorer", "epoch", "loaded_at", code_of(F.col("stage")).alias("code"))
-    return latest(rows, ["session_id", "scorer", "epoch"], "loaded_at", ["code"])
-
-
 def _hypnograms(spark: SparkSession, folder: str) -> DataFrame:
     """``(session_id, scorer, n_stages, freq_sec)``, one row per session and scorer."""
     return latest(table(spark, folder, "sleep_session"), ["session_id", "scorer"], "loaded_at", ["n_stages", "freq_sec"])
@@ -65,11 +59,31 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("sw_id", "spindle_id")
 
 
+def _stretches(spark: SparkSession, folder: str, **limits) -> DataFrame:
+    """Runs of stage codes (from 0, unscored) with the hypnogram's number of stages and epoch length."""
+    epochs = table(spark, folder, "hypnogram").select("session_id", "scorer", "epoch", "loaded_at", (code_of(F.col("stage")) + 2).alias("code"))
+    runs = collapse_runs(epochs, ["session_id", "scorer"], "epoch", "code", version="loaded_at", **limits)
+    return runs.join(bounded(_hypnograms(spark, folder)), ["session_id", "scorer"])
+
+
+#: How alike light and deep stages are to their neighbours, by code from 0 (N1 with N2, N2 with N3), for :func:`p5_bouts`.
+ALIKE = {(3, 4): 0.8, (4, 3): 0.8, (4, 5): 0.9, (5, 4): 0.9}
+
+
+def p5_bouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-identical stretches as one: neighbouring N1, N2 and N3, and two parts of one bout with one epoch missing between them.
+
+    ``(session_id, scorer, first_epoch, last_epoch, stage, n_epochs)``, stage
+    being that of the larger part each time two were merged. Hypnograms of five
+    stages.
+    """
+    rows = _stretches(spark, folder, least=0.75, gap=2, similar=ALIKE).where("n_stages = 5")
+    return rows.select("session_id", "scorer", F.col("first").cast("int").alias("first_epoch"), F.col("last").cast("int").alias("last_epoch"), label_of(F.col("label") - 2, 5).alias("stage"), F.col("n").cast("int").alias("n_epochs"))
+
+
 def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Every stretch of one stage, single epochs too: the columns of :func:`p5_found`."""
-    runs = collapse_runs(_epochs(spark, folder).withColumn("code", F.col("code") + 2), ["session_id", "scorer"], "epoch", "code")
-    met = runs.join(_hypnograms(spark, folder), ["session_id", "scorer"])
-    rows = met.select("session_id", "scorer", F.col("first").cast("int").alias("first_epoch"), label_of(F.col("label") - 2, F.col("n_stages")).alias("stage"), F.col("n").cast("int").alias("n_epochs"), F.bround(F.col("n") * F.col("freq_sec")).cast("int").alias("duration_s"))
+    rows = _stretches(spark, folder).select("session_id", "scorer", F.col("first").cast("int").alias("first_epoch"), label_of(F.col("label") - 2, F.col("n_stages")).alias("stage"), F.col("n").cast("int").alias("n_epochs"), F.bround(F.col("n") * F.col("freq_sec")).cast("int").alias("duration_s"))
     return rows.where("stage is not null")
 
 
@@ -124,6 +138,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_runs": p5_runs,
+    "p5_bouts": p5_bouts,
     "p6_packed": p6_packed,
     "p6_filling": p6_filling,
     "p7_mix": p7_mix,
