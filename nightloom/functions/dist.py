@@ -147,29 +147,22 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     return w, 1 - _NORMAL.cdf((y - mu) / sigma)
 
 
-def bca(value: np.ndarray, resampled: np.ndarray, at: Callable[[np.ndarray], np.ndarray], n: int, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bias-corrected accelerated intervals; rows of ``resampled`` are statistics, ``at`` gives them for index rows (jackknife)."""
-    keep = np.array([[j for j in range(n) if j != i] for i in range(n)])
-    jack = at(keep)
-    lows, highs = [], []
-    for v, boot, jk in zip(value, resampled, jack):
-        boot = np.sort(boot[np.isfinite(boot)])
-        if not len(boot) or not math.isfinite(v):
-            lows.append(math.nan)
-            highs.append(math.nan)
-            continue
-        below = ((boot < v).mean() + (boot <= v).mean()) / 2
-        z0 = _NORMAL.inv_cdf(min(max(below, 0.5 / len(boot)), 1 - 0.5 / len(boot)))
-        d = np.nanmean(jk) - jk
-        denominator = 6 * (np.nansum(d**2) ** 1.5)
-        acc = float(np.nansum(d**3) / denominator) if denominator > 0 else 0.0
-        ends = []
-        for q in (0.5 - confidence / 2, 0.5 + confidence / 2):
-            z = z0 + _NORMAL.inv_cdf(q)
-            ends.append(float(np.quantile(boot, _NORMAL.cdf(z0 + z / (1 - acc * z)))))
-        lows.append(ends[0])
-        highs.append(ends[1])
-    return np.array(lows), np.array(highs)
+def bca_ends(value: float, resampled: np.ndarray, n: float, s1: float, s2: float, s3: float, confidence: float) -> tuple[float, float]:
+    """Ends of the bias-corrected accelerated interval; ``s1``, ``s2``, ``s3`` are power sums of the ``n`` leave-one-out values about any point."""
+    boot = np.sort(resampled[np.isfinite(resampled)])
+    if not len(boot) or not math.isfinite(value) or not n:
+        return math.nan, math.nan
+    below = ((boot < value).mean() + (boot <= value).mean()) / 2
+    z0 = _NORMAL.inv_cdf(min(max(below, 0.5 / len(boot)), 1 - 0.5 / len(boot)))
+    mean = s1 / n
+    squares = max(s2 - n * mean * mean, 0.0)
+    cubes = s3 - 3 * mean * s2 + 2 * n * mean**3
+    acc = -cubes / (6 * squares**1.5) if squares > 0 else 0.0
+    ends = []
+    for q in (0.5 - confidence / 2, 0.5 + confidence / 2):
+        z = z0 + _NORMAL.inv_cdf(q)
+        ends.append(float(np.quantile(boot, _NORMAL.cdf(z0 + z / (1 - acc * z)))))
+    return ends[0], ends[1]
 
 
 def erfinv(y: float) -> float:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..session import bounded, cut
 
 METRICS = ("accuracy", "balanced_acc", "kappa", "mcc", "precision", "recall", "f1")
 
@@ -235,32 +236,96 @@ def auto_methods(assumed: DataFrame, log_transform: bool = False) -> DataFrame:
     return assumed.select("sleep_stat", F.when(F.col("constant_bias"), "param").otherwise("regr").alias("bias"), regr.alias("loa"), F.when(F.col("normal"), "param").otherwise("boot").alias("ci"))
 
 
+_BOOT = ("bias", "lower", "upper", "bias_intercept", "bias_slope", "loa_intercept", "loa_slope")
+_SUMS = ("n", "d", "dd", "x", "xx", "xd", "e", "xe")
+# Cumulated Poisson probabilities of 0, 1, 2, ... at mean 1.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
+
+
+def _from_sums(m: np.ndarray, d0: float, x0: float, factor: float) -> np.ndarray:
+    """The statistics ``[7, ...]`` of :data:`_BOOT` from sums ``[..., 8]`` taken about ``d0`` and ``x0``."""
+    n, d, dd, x, xx, xd, e, xe = np.moveaxis(np.asarray(m, float), -1, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean, sd = d0 + d / n, np.sqrt(np.maximum(dd - d * d / n, 0) / (n - 1))
+        sxx = xx - x * x / n
+        b1, l1 = (xd - x * d / n) / sxx, (xe - x * e / n) / sxx
+        middle = x0 + x / n
+        return np.stack([mean, mean - factor * sd, mean + factor * sd, mean - b1 * middle, b1, e / n - l1 * middle, l1])
+
+
+def _weights(key: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts ``[rows, last - first]`` that depend on row and resample alone."""
+    with np.errstate(over="ignore"):
+        z = key.astype(np.uint64)[:, None] + (np.arange(first, last, dtype=np.uint64) + np.uint64(seed << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(_POISSON, (z >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+
+
 def bootstrap_intervals(diff: DataFrame, n_resamples: int = 1000, confidence: float = 0.95, agreement_factor: float = 1.96, seed: int = 42) -> DataFrame:
-    """``(sleep_stat, statistic, value, low, high)``: bias-corrected accelerated intervals of bias, limits and both regressions."""
-    names = ("bias", "lower", "upper", "bias_intercept", "bias_slope", "loa_intercept", "loa_slope")
-
-    def statistic(d: np.ndarray, x: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Rows: resamples. e: absolute residuals, not computed anew."""
-        mean, sd = d.mean(-1), d.std(-1, ddof=1)
-        xc = x - x.mean(-1, keepdims=True)
-        sxx = (xc**2).sum(-1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            b1, l1 = (xc * d).sum(-1) / sxx, (xc * e).sum(-1) / sxx
-        b0, l0 = mean - b1 * x.mean(-1), e.mean(-1) - l1 * x.mean(-1)
-        return np.stack([mean, mean - agreement_factor * sd, mean + agreement_factor * sd, b0, b1, l0, l1])
+    """``(sleep_stat, statistic, value, low, high)``: bias-corrected accelerated intervals of bias, limits and both regressions.
+
+    A session's count in a resample is a Poisson number of mean 1 that follows
+    from a hash of its row, so resamples are sums over any number of tasks and
+    no task holds the sessions of a statistic; the jackknife is a sum as well.
+    Rows equal in every column are drawn together. Intervals are null where a
+    statistic has none (too few sessions, or no spread).
+    """
+    fit = _regression(diff, "difference", "ref", "bias")
+    means = diff.groupBy("sleep_stat").agg(F.avg("difference").alias("d0"), F.avg("ref").alias("x0"))
+    rows = diff.withColumn("key", F.xxhash64(*diff.columns)).join(bounded(fit.join(means, "sleep_stat")), "sleep_stat")
+    e = F.abs(F.col("difference") - F.coalesce("bias_intercept", "d0") - F.coalesce("bias_slope", F.lit(0.0)) * F.col("ref"))
+    rows = cut(rows.select("sleep_stat", "key", "d0", "x0", (F.col("difference") - F.col("d0")).cast("double").alias("d"), (F.col("ref") - F.col("x0")).cast("double").alias("x"), e.cast("double").alias("e")))
+    sums = ", ".join(f"{c} double" for c in _SUMS)
+
+    def features(pdf: pd.DataFrame) -> np.ndarray:
+        d, x, e = (pdf[c].to_numpy(float) for c in ("d", "x", "e"))
+        return np.stack([np.ones(len(d)), d, d * d, x, x * x, x * d, e, x * e], 1)
+
+    def resample(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for stat, part in pdf.groupby("sleep_stat"):
+                own, key = features(part), part["key"].to_numpy(np.int64)
+                total = found.setdefault(stat, np.zeros((n_resamples + 1, len(_SUMS))))
+                total[-1] += own.sum(0)
+                for at in range(0, n_resamples, 64):
+                    to = min(at + 64, n_resamples)
+                    total[at:to] += _weights(key, at, to, seed).T @ own
+        for stat, total in found.items():
+            yield pd.DataFrame(total, columns=_SUMS).assign(sleep_stat=stat, resample=np.arange(n_resamples + 1))[["sleep_stat", "resample", *_SUMS]]
+
+    drawn = rows.select("sleep_stat", "key", "d", "x", "e").mapInPandas(resample, f"sleep_stat string, resample int, {sums}")
+    drawn = cut(drawn.groupBy("sleep_stat", "resample").agg(*[F.sum(c).alias(c) for c in _SUMS]))
+    centres = rows.groupBy("sleep_stat").agg(F.first("d0").alias("d0"), F.first("x0").alias("x0"))
+    whole = drawn.where(F.col("resample") == n_resamples).drop("resample").join(centres, "sleep_stat")
+    known = {r.sleep_stat: (np.array([r[c] for c in _SUMS]), r.d0, r.x0) for r in whole.collect()}  # a row a statistic
+
+    def jackknife(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            for stat, part in pdf.groupby("sleep_stat"):
+                total, d0, x0 = known[stat]
+                off = _from_sums(total - features(part), d0, x0, agreement_factor) - _from_sums(total, d0, x0, agreement_factor)[:, None]
+                ok = np.isfinite(off)
+                off = np.where(ok, off, 0.0)
+                yield pd.DataFrame({"sleep_stat": stat, "statistic": _BOOT, "m": ok.sum(1).astype(float), "s1": off.sum(1), "s2": (off**2).sum(1), "s3": (off**3).sum(1)})
+
+    left = rows.select("sleep_stat", "d", "x", "e").mapInPandas(jackknife, "sleep_stat string, statistic string, m double, s1 double, s2 double, s3 double")
+    left = left.groupBy("sleep_stat", "statistic").agg(*[F.sum(c).alias(c) for c in ("m", "s1", "s2", "s3")])
+    moments = {(r.sleep_stat, r.statistic): r[2:] for r in left.collect()}  # seven rows a statistic
 
     def intervals(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ref", "difference"])
-        d, x = pdf["difference"].to_numpy(float), pdf["ref"].to_numpy(float)
-        n = len(d)
-        fit = dist.linear_fit(x, d)
-        e = np.abs(d - fit.intercept - fit.slope * x)
-        value = statistic(d[None], x[None], e[None])[:, 0]
-        pick = np.random.default_rng(seed).integers(0, n, (n_resamples, n))
-        low, high = dist.bca(value, statistic(d[pick], x[pick], e[pick]), lambda keep: statistic(d[keep], x[keep], e[keep]), n, confidence)
-        return pd.DataFrame({"sleep_stat": pdf["sleep_stat"].iloc[0], "statistic": names, "value": value, "low": low, "high": high})
-
-    return diff.groupBy("sleep_stat").applyInPandas(intervals, "sleep_stat string, statistic string, value double, low double, high double")
+        stat = pdf["sleep_stat"].iloc[0]
+        total, d0, x0 = known[stat]
+        value = _from_sums(total, d0, x0, agreement_factor)
+        boot = _from_sums(pdf.loc[pdf["resample"] < n_resamples, list(_SUMS)].to_numpy(float), d0, x0, agreement_factor)
+        ends = [dist.bca_ends(v, b, *moments[stat, name], confidence) for v, b, name in zip(value, boot, _BOOT)]
+        return pd.DataFrame({"sleep_stat": stat, "statistic": _BOOT, "value": value, "low": [a for a, _ in ends], "high": [b for _, b in ends]})
+
+    found = drawn.groupBy("sleep_stat").applyInPandas(intervals, "sleep_stat string, statistic string, value double, low double, high double")
+    nan = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
+    return found.select("sleep_stat", "statistic", nan("value"), nan("low"), nan("high"))
 
 
 def calibrated(value: Column, method: str, bias: Column, intercept: Column, slope: Column, unbiased: Column | None = None) -> Column:
