@@ -211,23 +211,55 @@ def log_limits(diff: DataFrame, agreement_factor: float = 1.96, confidence: floa
     return g.select("sleep_stat", s.alias("log_sd"), slope(s).alias("loa_slope"), slope(F.greatest(s - half, F.lit(0.0))).alias("loa_slope_low"), slope(s + half).alias("loa_slope_high"))
 
 
+def ranked(diff: DataFrame) -> DataFrame:
+    """``(sleep_stat, difference, rank)``: the 1-based place of each difference in its statistic's order.
+
+    Rows are sorted over all tasks; a row's rank is its place in its task plus
+    what the tasks before hold, so no task holds a statistic.
+    """
+    laid = cut(diff.select("sleep_stat", F.col("difference").cast("double").alias("difference")).orderBy("sleep_stat", "difference").withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy("sleep_stat").orderBy("_p")
+    held = laid.groupBy("sleep_stat", "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.sum("_n").over(before) - F.col("_n"))
+    place = F.row_number().over(Window.partitionBy("sleep_stat", "_p").orderBy("difference"))
+    return laid.join(bounded(cut(held.drop("_n"))), ["sleep_stat", "_p"]).select("sleep_stat", "difference", (place + F.col("_o")).alias("rank"))
+
+
 def assumptions(diff: DataFrame, alpha: float = 0.05) -> DataFrame:
     """``(sleep_stat, unbiased, normal, constant_bias, homoscedastic)``, true where the test's p is ``alpha`` or more.
 
     Student t of the mean difference, Shapiro-Wilk of the differences (true
-    below three sessions), and the two regressions' slopes.
+    below three sessions), and the two regressions' slopes. All are sums over
+    the sessions, the normal scores by rank; Python sees a row a statistic.
     """
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, x = pdf["difference"].to_numpy(float), pdf["ref"].to_numpy(float)
-        bias = dist.linear_fit(x, d)
-        resid = np.abs(d - bias.intercept - bias.slope * x)
-        p = (dist.t_test(d), dist.shapiro_wilk(d)[1] if len(d) > 2 else 1.0, bias.p, dist.linear_fit(x, resid).p)
+    of = diff.groupBy("sleep_stat").agg(F.count(F.lit(1)).alias("n"), F.avg("difference").alias("mean"), F.stddev_samp("difference").alias("sd"))
+    score = dist.normal_quantile((F.col("rank") - 0.375) / (F.col("n") + 0.25))
+    scored = ranked(diff).join(bounded(cut(of)), "sleep_stat").withColumn("m", score)
+    at = lambda c, place: F.max(F.when(F.col("rank") == place, F.col(c)))
+    places = {"x1": ("difference", F.lit(1)), "x2": ("difference", F.lit(2)), "y2": ("difference", F.col("n") - 1), "y1": ("difference", F.col("n")), "m2": ("m", F.col("n") - 1), "m1": ("m", F.col("n"))}
+    sums = scored.groupBy("sleep_stat").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("difference")).alias("mx"), *[at(c, place).alias(name) for name, (c, place) in places.items()])
+    met = sums.join(regressions(diff).select("sleep_stat", "bias_slope", "bias_stderr", "loa_slope", "loa_stderr"), "sleep_stat")
+
+    def slope_p(slope: float, stderr: float, n: int) -> float:
+        if np.isnan(slope) or n < 3:
+            return math.nan
+        if np.isnan(stderr) or stderr == 0:
+            return 0.0 if slope else 1.0
+        return dist.p_two_sided(slope / stderr, n - 2)
+
+    def test(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         names = ("unbiased", "normal", "constant_bias", "homoscedastic")
-        return pd.DataFrame([{"sleep_stat": pdf["sleep_stat"].iloc[0], **{n: bool(not q < alpha) for n, q in zip(names, p)}}])
-
-    # a group is the sessions of one statistic: as many numbers as there are nights scored twice
-    return diff.groupBy("sleep_stat").applyInPandas(test, "sleep_stat string, unbiased boolean, normal boolean, constant_bias boolean, homoscedastic boolean")
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                spread = 0.0 if np.isnan(r.sd) else r.sd
+                bias = math.nan if r.n < 2 else float(r.mean == 0) if spread == 0 else dist.p_two_sided(r.mean / (spread / math.sqrt(r.n)), r.n - 1)
+                normal = dist.shapiro_from_sums(r.n, r.mm, r.mx, (r.m1, r.m2), (r.x1, r.x2, r.y2, r.y1), spread**2 * (r.n - 1))[1] if r.n > 2 else 1.0
+                p = (bias, normal, slope_p(r.bias_slope, r.bias_stderr, r.n), slope_p(r.loa_slope, r.loa_stderr, r.n))
+                rows.append({"sleep_stat": r.sleep_stat, **{n: bool(not q < alpha) for n, q in zip(names, p)}})
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return met.mapInPandas(test, "sleep_stat string, unbiased boolean, normal boolean, constant_bias boolean, homoscedastic boolean")
 
 
 def auto_methods(assumed: DataFrame, log_transform: bool = False) -> DataFrame:
