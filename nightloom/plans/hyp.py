@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import hypnogram as H
+from ..operators.agreement import paired_ends
 from ..stages import LABELS, label_of
 from . import base
 from .base import KEYS, five_stage, hypnograms, sessions
@@ -185,13 +186,11 @@ def hyp_as_events(spark, folder):
     return rows.select(*KEYS, "epoch", "onset", "duration", "value", "description")
 
 
-@query(", p AS (SELECT session_id, min(scorer) AS a, max(scorer) AS b FROM span GROUP BY ALL HAVING min(scorer) <> max(scorer)) SELECT p.session_id, x.epoch, x.code = y.code AS equal FROM p JOIN hyp x ON x.session_id = p.session_id AND x.scorer = a JOIN hyp y ON y.session_id = p.session_id AND y.scorer = b AND x.epoch = y.epoch")
+@query(", p AS (SELECT session_id, min(scorer) AS a, max(scorer) AS b FROM span GROUP BY ALL HAVING min(scorer) <> max(scorer)), e AS (SELECT session_id, epoch, max(code) FILTER (WHERE scorer = a) AS x, max(code) FILTER (WHERE scorer = b) AS y FROM hyp JOIN p USING (session_id) GROUP BY ALL) SELECT session_id, epoch, x = y AS equal FROM e WHERE x IS NOT NULL AND y IS NOT NULL")
 def hyp_equal(spark, folder):
     """Epochs on which a session's first and last scorer agree."""
-    h = hypnograms(spark, folder)
-    ends = h.groupBy("session_id").agg(F.min("scorer").alias("a"), F.max("scorer").alias("b")).where("a <> b")
-    x, y = h.select("session_id", F.col("scorer").alias("a"), "epoch", F.col("code").alias("cx")), h.select("session_id", F.col("scorer").alias("b"), "epoch", F.col("code").alias("cy"))
-    return ends.join(x, ["session_id", "a"]).join(y, ["session_id", "b", "epoch"]).select("session_id", "epoch", (F.col("cx") == F.col("cy")).alias("equal"))
+    pairs = paired_ends(hypnograms(spark, folder), "session_id", "scorer")
+    return pairs.select("session_id", "epoch", (F.col("ref") == F.col("obs")).alias("equal"))
 
 
 @query(None)

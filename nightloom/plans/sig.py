@@ -208,7 +208,7 @@ def _periods(beats: DataFrame, width: float) -> DataFrame:
 
 
 @query(
-    """, b AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.8 + (event_id % 7) * 0.01 AS t FROM events), p AS (SELECT user_id, k AS period, k * 20.0 AS s FROM (SELECT DISTINCT user_id FROM b), unnest(range(0, 3)) AS g(k))
+    """, b AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.8 + (event_id % 7) * 0.01 AS t FROM events), p AS (SELECT user_id, k AS period, k * 20.0 AS s FROM (SELECT user_id, floor(max(t) / 20)::INT AS last FROM b GROUP BY user_id), unnest(range(0, last + 1)) AS g(k))
 SELECT p.user_id, period, count(*) AS n_beats FROM p JOIN b ON b.user_id = p.user_id AND t >= s AND t < s + 20 GROUP BY ALL"""
 )
 def hrv_beats(spark, folder):
