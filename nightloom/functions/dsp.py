@@ -182,17 +182,22 @@ def at_samples(t: np.ndarray, v: np.ndarray, n: int, sf: float) -> np.ndarray:
     return np.interp(np.arange(n) / sf, t, v, left=0.0, right=0.0)
 
 
+def resample_taps(up: int, down: int) -> np.ndarray:
+    """Taps of :func:`resample` for coprime factors."""
+    longest = max(up, down)
+    t = np.arange(-10 * longest, 10 * longest + 1)
+    h = np.sinc(t / longest) * np.kaiser(len(t), 5.0)
+    return h * (up / h.sum())
+
+
 def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
     """Rational resampling with a Kaiser-windowed low-pass at the lower Nyquist frequency (polyphase, in blocks of output)."""
     g = np.gcd(up, down)
     up, down = up // g, down // g
     if up == down == 1:
         return np.array(x, float)
-    longest = max(up, down)
-    half = 10 * longest
-    t = np.arange(-half, half + 1)
-    h = np.sinc(t / longest) * np.kaiser(2 * half + 1, 5.0)
-    h *= up / h.sum()
+    h = resample_taps(up, down)
+    half = len(h) // 2
     n = x.shape[-1]
     out_n = -(-n * up // down)
     # every output sample meets the input samples that fall on its phase of the taps

@@ -217,7 +217,18 @@ def hrv_beats(spark, folder):
     return heart.beats_in_periods(b, _periods(b, 20.0), ["user_id"], "beat", "start", "duration").groupBy("user_id", "period").agg(F.count(F.lit(1)).alias("n_beats"))
 
 
-@query(None)
+@query(
+    """, b AS (SELECT user_id, t + CASE WHEN floor(t)::INT % 5 = 0 THEN 1.7 ELSE 0 END AS t FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.8::DOUBLE + (event_id % 7) * 0.01::DOUBLE AS t FROM events)),
+p AS (SELECT user_id, k AS period, k * 30.0::DOUBLE AS s FROM (SELECT user_id, floor(max(t) / 30)::INT AS last FROM b GROUP BY user_id), unnest(range(0, last + 1)) AS g(k)),
+m AS (SELECT p.user_id, period, t, row_number() OVER w AS i, (t - lag(t) OVER w) * 1000 AS raw FROM p JOIN b ON b.user_id = p.user_id AND t >= s AND t < s + 30 WINDOW w AS (PARTITION BY p.user_id, period ORDER BY t)),
+vf AS (SELECT *, CASE WHEN raw BETWEEN 400 AND 2000 THEN raw END AS rr, CASE WHEN raw BETWEEN 400 AND 2000 THEN i END AS ri FROM m WHERE i > 1),
+g AS (SELECT *, last_value(rr IGNORE NULLS) OVER a AS pv, last_value(ri IGNORE NULLS) OVER a AS pi, first_value(rr IGNORE NULLS) OVER z AS nv, first_value(ri IGNORE NULLS) OVER z AS ni FROM vf WINDOW a AS (PARTITION BY user_id, period ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY user_id, period ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT *, CASE WHEN rr IS NOT NULL THEN rr WHEN coalesce(i - pi <= 10, false) OR coalesce(ni - i <= 10, false) THEN CASE WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END END AS q FROM g),
+d AS (SELECT *, q - lag(q) OVER (PARTITION BY user_id, period ORDER BY i) AS dd FROM f),
+st AS (SELECT user_id, period, count(*) FILTER (WHERE q IS NULL) AS bad, avg(60000 / q) AS hm, stddev_samp(60000 / q) AS hs, sqrt(avg(dd * dd)) AS rm FROM d GROUP BY ALL),
+c AS (SELECT user_id, period, count(*) AS n FROM m GROUP BY ALL)
+SELECT user_id, period, n AS n_beats, CASE WHEN bad = 0 AND 2 * n >= 30 THEN round(hm, 6) END AS hr_mean, CASE WHEN bad = 0 AND 2 * n >= 30 THEN round(hs, 6) END AS hr_std, CASE WHEN bad = 0 AND 2 * n >= 30 THEN round(rm, 6) END AS hrv_rmssd FROM c LEFT JOIN st USING (user_id, period)"""
+)
 def hrv_rr_filter(spark, folder):
     """The same by period, one interval in five far out and interpolated."""
     b = _beats(spark, folder).withColumn("beat", F.col("beat") + F.when(F.floor("beat") % 5 == 0, 1.7).otherwise(0.0))
