@@ -9,7 +9,7 @@ from ..session import bounded
 from ..stages import code_of, label_of
 from ..tables import latest, table
 from .consensus import Consensus, consensus
-from .lookalike import alike_pairs, canonical_text
+from .lookalike import alike_classes, alike_pairs, canonical_text
 from .mixing import Mix, mix
 from .nearest import microseconds, nearest_within
 from .packing import filling, pack
@@ -126,6 +126,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_pairs(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of texts that look like it: ``(doc_id, class_id, n_members, n_links)``."""
+    return alike_classes(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text in canonical form."""
     return canonical_text(table(spark, folder, "documents").select("doc_id", "text"), "text", "canonical").select("doc_id", "canonical", (~F.col("text").eqNullSafe(F.col("canonical"))).alias("changed"))
@@ -144,5 +149,6 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_canonical": p8_canonical,
 }

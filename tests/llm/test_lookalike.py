@@ -20,6 +20,10 @@ ALIKE = [
     ["K 5", "K 5"],
     ["one\ntwo", "one\r\ntwo", "one two"],
     ["ɑɡain", "again"],
+    ["Qur'an VI", "Ԛur'аn ѴӀ"],
+    ["lex et lis", "ӏex еt ӏіѕ"],
+    ["Հանրապետություն օր", "Հանրապետություն oր"],
+    ["각", "각", "가​ᆨ"],
 ]
 DIFFERENT = ["Order", "order", "Orders", "Örder", "Order.", "Order\n", "Order 1", "Order  1", "Order ¹", "Ordër", "1/2", "½", "…", "...", "й", "и", "суд", "sud", "β", "ß"]
 
@@ -62,7 +66,7 @@ def test_swapped_doubles(text, rng):
     """Replacing letters by their doubles, composing or decomposing, and adding unseen characters changes nothing."""
     doubles = {}
     for group in L.ALIKE.split():
-        letters = [c for c in group if c != "-"]
+        letters = list(group)
         for c in letters:
             doubles[c] = letters
     other = "".join(rng.choice(doubles.get(c, [c])) + rng.choice(["", "", "‍"]) for c in unicodedata.normalize(rng.choice(["NFC", "NFD"]), text))
@@ -85,6 +89,29 @@ def F_lit(x):
     return F.lit(x)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ae1̣́̇  ​가각аο\n", max_size=6), max_size=8))
+def test_seams_alone_give_the_whole(pieces):
+    """Pieces that are composed each, put together, equal the normal form of the whole."""
+    composed = [unicodedata.normalize("NFC", p) for p in pieces]
+    assert L._spliced(composed) == unicodedata.normalize("NFC", "".join(composed))
+
+
+def test_classes(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(t for g in ALIKE for t in g)] + [(100, "Order of the court"), (101, None), (None, "x"), (100, "Order of the court"), *((200 + i, "copied") for i in range(30)), (300, "сopied")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    texts = {(i, t) for i, t in rows if i is not None and t is not None}
+    want = set()
+    for i, t in texts:
+        alike = [(j, u) for j, u in texts if L.canonical(u) == L.canonical(t)]
+        want.add((i, min(j for j, _ in alike), len(alike), sum(u != t for _, u in alike)))
+    for crowd in (100_000, 10):
+        monkeypatch.setattr(L, "_CROWD", crowd)
+        got = L.alike_classes(df, "id", "text").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert L.alike_classes(df.limit(0), "id", "text").count() == 0
+
+
 def test_column(spark):
     df = spark.createDataFrame([("Оrder", 1), ("plain", 2), ("tab\there", 3), ("cr\r\n", 4), (None, 5)], "text string, canonical int")
     got = [r.canonical for r in L.canonical_text(df, "text", "canonical").collect()]
