@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bounded, cut
 
 
 def best_fit(sizes: np.ndarray, capacity: int, bins: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -116,12 +116,12 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], gener
     return [b for _, _, b in rated]
 
 
-#: Kinds of container at most; they become literals of the plan.
-MOST_KINDS = 1000
+#: Kinds of container that one explode lists; more take several.
+_KINDS = 1000
 _SHARD = "container string, capacity int, shard bigint, island int, sizes array<int>"
 
 
-def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard_items: int = 2048, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 25, seed: int = 0) -> DataFrame:
+def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard_items: int = 2048, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 25, loose: float = 0.95, seed: int = 0) -> DataFrame:
     """Where every document goes, for each kind of container.
 
     containers: ``(container, capacity_tokens)``. Result: ``(container,
@@ -135,19 +135,20 @@ def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard
     size); kinds with a null, zero or negative capacity hold nothing and are
     left out, one named twice counts with its greatest capacity. Shards hold
     about ``shard_items`` items by a hash of the id, at any size of the input.
+    Bins filled to less than ``loose`` are mixed across shards at the end (0:
+    none are). Runs jobs when called; the kinds of container are collected.
     """
     kinds = containers.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
-    listed = kinds.orderBy("container").limit(MOST_KINDS + 1).collect()
-    if len(listed) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of container")
-    if not listed:
-        listed = [(None, None)]
+    listed = [tuple(r) for r in kinds.orderBy("container").collect()] or [(None, None)]
     whole = docs.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("doc")).agg(F.max(F.coalesce(F.col(size), F.lit(0))).cast("int").alias("size"))
     whole = cut(whole)
     n = max(1, whole.where("size > 0").count())
     shards = -(-n // shard_items)
-    kind_of = F.explode(F.array(*[F.struct(F.lit(name).cast("string").alias("container"), F.lit(cap).cast("int").alias("capacity")) for name, cap in listed]))
-    laid = whole.withColumn("k", kind_of).select("doc", "size", "k.container", "k.capacity").where("capacity is not null")
+    laid = None
+    for at in range(0, len(listed), _KINDS):
+        some = F.explode(F.array(*[F.struct(F.lit(name).cast("string").alias("container"), F.lit(cap).cast("int").alias("capacity")) for name, cap in listed[at : at + _KINDS]]))
+        part = whole.withColumn("k", some).select("doc", "size", "k.container", "k.capacity").where("capacity is not null")
+        laid = part if laid is None else laid.unionByName(part)
     full = F.when(F.col("size") > F.col("capacity"), F.floor(F.col("size") / F.col("capacity"))).otherwise(0).cast("int")
     laid = laid.withColumn("full", full).withColumn("left", (F.col("size") - F.col("full") * F.col("capacity")).cast("int"))
     items = laid.where("left > 0").select("container", "capacity", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(shards)).alias("shard"), F.struct("left", "doc", "full").alias("item"))
@@ -179,13 +180,41 @@ def pack(docs: DataFrame, containers: DataFrame, *, ident: str, size: str, shard
         states = cut(states)
         if epoch + 1 < epochs:
             elite = states.select("container", "shard", ((F.col("island") + 1) % islands).alias("island"), F.col("pool")[0].alias("guest"))
-            states = states.join(elite, on).select("container", "capacity", "shard", "island", "sizes", F.concat(F.array("guest"), "pool").alias("pool"))
+            states = states.join(elite.hint("merge"), on).select("container", "capacity", "shard", "island", "sizes", F.concat(F.array("guest"), "pool").alias("pool"))
     best = states.groupBy("container", "shard").agg(F.max_by(F.col("pool")[0], F.struct("score", -F.col("island"))).alias("bins"))
-    packed = grouped.join(best, ["container", "shard"])
+    packed = grouped.join(best.hint("merge"), ["container", "shard"])
     each = packed.select("container", "capacity", "shard", F.inline(F.arrays_zip("items", "bins"))).select("container", "capacity", "shard", "items.*", "bins")
 
-    w = Window.partitionBy("container", "shard", "bins").orderBy(F.desc("left"), "doc")
-    rows = each.select("container", F.concat_ws(".", "shard", "bins").alias("bin_id"), (F.row_number().over(w) - 1).alias("place"), (F.sum("left").over(w) - F.col("left")).cast("int").alias("offset"), F.col("doc").alias(ident), F.col("full").alias("piece"), (F.col("full") * F.col("capacity")).alias("piece_start"), F.col("left").alias("n_tokens"))
+    def placed(rows: DataFrame, *bin_of: str) -> DataFrame:
+        w = Window.partitionBy("container", *bin_of).orderBy(F.desc("left"), "doc")
+        return rows.withColumns({"place": F.row_number().over(w) - 1, "offset": (F.sum("left").over(w) - F.col("left")).cast("int"), "fill": F.sum("left").over(Window.partitionBy("container", *bin_of))})
+
+    each = cut(placed(each, "shard", "bins"))
+    migrates = F.col("fill") < F.col("capacity") * F.lit(loose)
+    told = lambda rows, bin_id: rows.select("container", bin_id.alias("bin_id"), "place", "offset", F.col("doc").alias(ident), F.col("full").alias("piece"), (F.col("full") * F.col("capacity")).alias("piece_start"), F.col("left").alias("n_tokens"))
+    rows = told(each.where(~migrates), F.concat_ws(".", "shard", "bins"))
+    moving = each.where(migrates)
+    pools = moving.groupBy("container").agg(F.ceil(F.count(F.lit(1)) / shard_items).alias("pools"))
+    pooled = moving.join(bounded(pools), "container").withColumn("pool", F.pmod(F.xxhash64(F.lit(seed), "shard"), "pools"))
+    pooled = pooled.groupBy("container", "capacity", "pool").agg(F.sort_array(F.collect_list(F.struct("left", "doc", "full", "shard", "bins"))).alias("items"))
+    pooled = cut(pooled)
+    bins_of = F.transform("items", lambda x: F.concat_ws(".", x["shard"].cast("string"), x["bins"].cast("string")))
+
+    def remix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for capacity, pool, sizes, old in zip(pdf["capacity"], pdf["pool"], pdf["sizes"], pdf["old"]):
+                sizes = np.asarray(sizes, np.int64)
+                rng = np.random.default_rng([seed, epochs, int(pool), int(capacity)])
+                came = dense(pd.factorize(np.asarray(old, object))[0].astype(np.int64))
+                bred = evolve(sizes, capacity, [came, *founders(sizes, capacity, population, rng)], epochs * generations, rng)
+                found.append(min([came, *bred], key=lambda b: (int(b.max(initial=-1)), -fitness(sizes, capacity, b))).astype(np.int32))
+            yield pdf[["container", "pool"]].assign(mixed=found)
+
+    mixed = pooled.select("container", "capacity", "pool", F.col("items.left").alias("sizes"), bins_of.alias("old"))
+    mixed = mixed.repartition(tasks, "container", "pool").mapInPandas(remix, "container string, pool bigint, mixed array<int>")
+    met = pooled.join(mixed.hint("merge"), ["container", "pool"]).select("container", "capacity", "pool", F.inline(F.arrays_zip("items", "mixed"))).select("container", "capacity", "pool", "items.left", "items.doc", "items.full", "mixed")
+    rows = rows.unionByName(told(placed(met, "pool", "mixed"), F.concat_ws(".", F.lit("mixed"), "pool", "mixed")))
     cut_up = laid.where("full > 0").select("container", "capacity", "doc", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
     cut_up = cut_up.select("container", F.concat_ws(".", F.lit("doc"), F.col("doc").cast("string"), "piece").alias("bin_id"), F.lit(0).alias("place"), F.lit(0).alias("offset"), F.col("doc").alias(ident), "piece", (F.col("piece") * F.col("capacity")).alias("piece_start"), F.col("capacity").alias("n_tokens"))
     none = laid.where("size = 0").select("container", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("offset"), F.col("doc").alias(ident), F.lit(0).alias("piece"), F.lit(0).alias("piece_start"), F.lit(0).alias("n_tokens"))
@@ -197,5 +226,5 @@ def filling(packed: DataFrame, containers: DataFrame) -> DataFrame:
     kinds = containers.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
     bins = packed.where("bin_id is not null").groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("tokens"))
     told = bins.groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("tokens").alias("tokens"))
-    met = kinds.join(told, "container", "left").fillna(0, ["bins", "tokens"])
+    met = kinds.join(bounded(told), "container", "left").fillna(0, ["bins", "tokens"])
     return met.select("container", "capacity", "bins", "tokens", F.try_divide("tokens", F.col("bins") * F.col("capacity")).alias("fill"), F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"))

@@ -66,6 +66,24 @@ def test_pack_is_repeatable_and_defined_at_the_edges(spark):
     assert P.pack(docs(spark, [None]), kinds(spark, ("a", 10)), ident="doc", size="n").first().bin_id is None
 
 
+def test_bins_migrate_between_shards(spark):
+    """Shards of few items leave half-filled bins; together they are filled, and never worse than apart."""
+    rng = np.random.default_rng(5)
+    d = docs(spark, rng.integers(20, 45, 600).tolist())
+    used = {}
+    for loose in (0.0, 0.95):
+        got = P.pack(d, kinds(spark, ("c", 100)), ident="doc", size="n", shard_items=12, epochs=1, generations=4, loose=loose)
+        rows = got.collect()
+        used[loose] = checked(rows, [r.n for r in sorted(d.collect())], 100)
+    assert used[0.95] < used[0.0]
+
+
+def test_any_number_of_kinds(spark, monkeypatch):
+    monkeypatch.setattr(P, "_KINDS", 2)
+    got = P.pack(docs(spark, [5, 3, 9]), kinds(spark, *((f"k{i}", 10 + i) for i in range(5))), ident="doc", size="n")
+    assert {(r.container, r.n) for r in got.groupBy("container").agg(F.sum("n_tokens").alias("n")).collect()} == {(f"k{i}", 17) for i in range(5)}
+
+
 def test_breeding_improves():
     rng = np.random.default_rng(1)
     sizes = rng.integers(200, 501, 120)
