@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bounded, cut
 from .picking import pick
 
 
@@ -84,7 +84,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
     return take
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, ident: str, source: str, size: str, total: int | None = None, seed: int = 0, slack: int = 65_536) -> Mix:
+def mix(docs: DataFrame, targets: DataFrame, *, ident: str, source: str, size: str, total: int | None = None, fill: str = "gap", seed: int = 0, slack: int = 65_536) -> Mix:
     """Documents with their number of copies so that each source has its target share of ``total`` tokens.
 
     targets: ``(source, target_share, max_repeat)``. total: size of the mix,
@@ -93,7 +93,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, ident: str, source: str, size: s
     and a fitted part of one more, no document more than max_repeat times. A
     source that can't reach its budget is taken max_repeat times whole, and its
     gap is reported, not filled from others; a source without documents is
-    reported with zeros.
+    reported with zeros. fill: ``gap`` leaves the others' budgets as they are,
+    so that their actual shares rise; ``shrink`` lowers the total until every
+    source that has documents can reach its budget, so that shares hold among
+    these. Runs jobs when called.
 
     Documents without tokens, id or source, and sources without a target, take
     no part; an id seen again counts once (its greatest source and size).
@@ -104,13 +107,18 @@ def mix(docs: DataFrame, targets: DataFrame, *, ident: str, source: str, size: s
     sized = settled.select("doc", "r.source", "r.n_tokens").where("source is not null and n_tokens > 0")
     floor0 = lambda c: F.greatest(F.coalesce(F.max(c), F.lit(0)), F.lit(0))
     wanted = targets.where("source is not null").groupBy("source").agg(floor0("target_share").cast("double").alias("target_share"), floor0("max_repeat").cast("bigint").alias("max_repeat"))
-    sized = cut(sized.join(wanted.select("source"), "source", "left_semi"))
+    sized = cut(sized.join(bounded(wanted.select("source")), "source", "left_semi"))
 
     counts = cut(sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
     have = counts.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("available"))
-    plan = wanted.join(have, "source", "left").fillna(0, ["n_docs", "available"])
+    plan = wanted.join(bounded(have), "source", "left").fillna(0, ["n_docs", "available"])
     if total is None:
         total = have.agg(F.sum("available")).first()[0] or 0
+    if fill not in ("gap", "shrink"):
+        raise ValueError(fill)
+    if fill == "shrink":
+        most = plan.where("available > 0 and target_share > 0").agg(F.min(F.floor(F.col("max_repeat") * F.col("available") / F.col("target_share")))).first()[0]
+        total = min(int(total), int(most or 0))
     plan = plan.withColumn("budget", F.floor(F.col("target_share") * F.lit(int(total))))
     passes = F.when(F.col("available") > 0, F.least("max_repeat", F.floor(F.col("budget") / F.col("available")))).otherwise(0)
     plan = plan.withColumn("passes", passes.cast("bigint"))
@@ -122,15 +130,15 @@ def mix(docs: DataFrame, targets: DataFrame, *, ident: str, source: str, size: s
         pdf["take"] = fit_budget(pdf["n_tokens"].to_numpy(), pdf["n"].to_numpy(), int(pdf["rest"].iloc[0]), seed, slack)
         return pdf[["source", "n_tokens", "take"]]
 
-    fitted = counts.join(plan.select("source", "rest"), "source").where("rest > 0").groupBy("source").applyInPandas(fit, f"source {dict(counts.dtypes)['source']}, n_tokens bigint, take bigint")
+    fitted = counts.join(bounded(plan.select("source", "rest")), "source").where("rest > 0").groupBy("source").applyInPandas(fit, f"source {dict(counts.dtypes)['source']}, n_tokens bigint, take bigint")
     fitted = cut(fitted)
-    rows = sized.join(plan.select("source", "passes"), "source").join(fitted, ["source", "n_tokens"], "left")
+    rows = sized.join(bounded(plan.select("source", "passes")), "source").join(bounded(fitted), ["source", "n_tokens"], "left")
     rows = pick(rows, ["source", "n_tokens"], "doc", "take", seed)
     copies = F.col("passes") + F.col("picked").cast("bigint")
     picks = rows.select(F.col("doc").alias(ident), "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
 
     part = fitted.groupBy("source").agg(F.sum(F.col("take") * F.col("n_tokens")).alias("part"), F.sum("take").alias("more"))
-    told = plan.join(part, "source", "left").fillna(0, ["part", "more"])
+    told = plan.join(bounded(part), "source", "left").fillna(0, ["part", "more"])
     told = told.withColumn("mixed_tokens", F.col("passes") * F.col("available") + F.col("part"))
     all_tokens = told.agg(F.sum("mixed_tokens")).first()[0] or 0
     shares = told.select(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded
+
 _BITS = 12
 
 
@@ -27,7 +29,7 @@ def pick(df: DataFrame, group: Sequence[str], ident: str, wanted: str, seed: int
     parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
     left = F.coalesce(F.col("_w"), F.lit(0)) - F.col("_before")
     parts = parts.select(*keys, "_b", F.greatest(F.least(left, F.col("_n")), F.lit(0)).alias("_take"), "_n")
-    rows = rows.join(parts, [*keys, "_b"])
+    rows = rows.join(bounded(parts), [*keys, "_b"])
     whole = rows.where("_take = 0 or _take = _n").withColumn("picked", F.col("_take") > 0)
     rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", ident))
     some = rows.where("_take > 0 and _take < _n").withColumn("picked", rank <= F.col("_take"))

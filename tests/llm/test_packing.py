@@ -143,6 +143,18 @@ def test_mix(spark):
     assert sorted(again) == sorted(picks)
 
 
+def test_mix_shrinks(spark):
+    """With a source that can't fill its budget the total shrinks to where shares hold."""
+    rows = [(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc bigint, source string, n bigint")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeat int")
+    shares = {f: {r.source: r for r in M.mix(d, t, ident="doc", source="source", size="n", fill=f).shares.collect()} for f in ("gap", "shrink")}
+    assert (shares["gap"]["a"].mixed_tokens, shares["gap"]["b"].missing_tokens) == (520, 320)
+    assert (shares["shrink"]["a"].mixed_tokens, shares["shrink"]["b"].mixed_tokens, shares["shrink"]["b"].missing_tokens) == (120, 100, 0)
+    with pytest.raises(ValueError):
+        M.mix(d, t, ident="doc", source="source", size="n", fill="x")
+
+
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "doc bigint, src string, n int")
     target = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeat int")
