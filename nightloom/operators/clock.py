@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zoneinfo
 from datetime import UTC, datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +20,22 @@ _MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 _ZONE = r"(Z|z|(?:UTC|GMT|UT)?[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5})?"
 _BRACKET = r"(?:\[([A-Za-z0-9_+/-]+)\])?"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-_DOW = r"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?"
+_DOW = r"(?:(Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?"
+_DAYS = "MonTueWedThuFriSatSun"
 
 #: Name, anchored pattern, and which group holds year, month, day, hour,
-#: minute, second, fraction, am/pm, zone and bracketed zone (0: absent). The
+#: minute, second, fraction, am/pm, zone, bracketed zone and weekday (0: absent). The
 #: first pattern that matches decides. In "slashed", year is group 3 and the
 #: order of the other two is the site's.
 PATTERNS = (
-    ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_TIME} ?{_ZONE}{_BRACKET}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9)),
-    ("basic", rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,9}}))?)?{_ZONE}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 0)),
-    ("year_slash", rf"^(\d{{4}})/(\d{{2}})/(\d{{2}}) {_TIME} ?{_ZONE}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 0)),
-    ("slashed12", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_TIME} ?([AaPp][Mm])$", (3, 1, 2, 4, 5, 6, 7, 8, 0, 0)),
-    ("slashed", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_TIME} ?{_ZONE}$", (3, 1, 2, 4, 5, 6, 7, 0, 8, 0)),
-    ("dotted", r"^(\d{2})\.(\d{2})\.(\d{2}) (\d{2})\.(\d{2})\.(\d{2})$", (3, 2, 1, 4, 5, 6, 0, 0, 0, 0)),
-    ("named", rf"^(\d{{1,2}})-([A-Za-z]{{3}})-(\d{{4}}) {_TIME} ?{_ZONE}$", (3, 2, 1, 4, 5, 6, 7, 0, 8, 0)),
-    ("mail", rf"^{_DOW}(\d{{1,2}}) ([A-Za-z]{{3}}) (\d{{4}}) {_TIME} ?{_ZONE}$", (3, 2, 1, 4, 5, 6, 7, 0, 8, 0)),
+    ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_TIME} ?{_ZONE}{_BRACKET}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9, 0)),
+    ("basic", rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,9}}))?)?{_ZONE}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 0, 0)),
+    ("year_slash", rf"^(\d{{4}})/(\d{{2}})/(\d{{2}}) {_TIME} ?{_ZONE}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 0, 0)),
+    ("slashed12", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_TIME} ?([AaPp][Mm])$", (3, 1, 2, 4, 5, 6, 7, 8, 0, 0, 0)),
+    ("slashed", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_TIME} ?{_ZONE}$", (3, 1, 2, 4, 5, 6, 7, 0, 8, 0, 0)),
+    ("dotted", r"^(\d{2})\.(\d{2})\.(\d{2}) (\d{2})\.(\d{2})\.(\d{2})$", (3, 2, 1, 4, 5, 6, 0, 0, 0, 0, 0)),
+    ("named", rf"^(\d{{1,2}})-([A-Za-z]{{3}})-(\d{{4}}) {_TIME} ?{_ZONE}$", (3, 2, 1, 4, 5, 6, 7, 0, 8, 0, 0)),
+    ("mail", rf"^{_DOW}(\d{{1,2}}) ([A-Za-z]{{3}}) (\d{{4}}) {_TIME} ?{_ZONE}$", (4, 3, 2, 5, 6, 7, 8, 0, 9, 0, 1)),
 )
 _DIGITS = r"^\d{9,16}$"
 _HOUR, _DAY = 3_600_000_000, 86_400_000_000
@@ -44,13 +46,9 @@ def zone_ids(spark: SparkSession) -> list[str]:
     return sorted(str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
-def abbreviations(spark: SparkSession, first: int = 1990, last: int = 2037) -> DataFrame:
-    """``(abbr_zone, abbr, abbr_offsets)``: what each zone's abbreviations stand for.
-
-    Derived from the time-zone database by asking every zone in January and
-    July of each year; a few thousand rows whatever the data, so it may be
-    broadcast. Offsets are in seconds.
-    """
+@lru_cache(maxsize=4)
+def abbreviation_rows(first: int = 1990, last: int = 2037) -> list[tuple[str, str, list[int]]]:
+    """Zone, abbreviation and the offsets in seconds that it stands for there, by asking every zone in January and July of each year."""
     probes = [datetime(y, m, 1, tzinfo=UTC) for y in range(first, last + 1) for m in (1, 7)]
     found: dict[tuple[str, str], set[int]] = {}
     for name in sorted(zoneinfo.available_timezones()):
@@ -59,8 +57,12 @@ def abbreviations(spark: SparkSession, first: int = 1990, last: int = 2037) -> D
             local = at.astimezone(zone)
             if (abbr := local.tzname()) and abbr.isalpha():
                 found.setdefault((name, abbr.upper()), set()).add(int(local.utcoffset().total_seconds()))
-    rows = [(z, a, sorted(o)) for (z, a), o in sorted(found.items())]
-    return spark.createDataFrame(rows, "abbr_zone string, abbr string, abbr_offsets array<int>")
+    return [(z, a, sorted(o)) for (z, a), o in sorted(found.items())]
+
+
+def abbreviations(spark: SparkSession, first: int = 1990, last: int = 2037) -> DataFrame:
+    """``(abbr_zone, abbr, abbr_offsets)``: a few thousand rows whatever the data, so it may be broadcast."""
+    return spark.createDataFrame(abbreviation_rows(first, last), "abbr_zone string, abbr string, abbr_offsets array<int>")
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -83,7 +85,7 @@ def _offset(utc_us: Column, zone: Column) -> Column:
 
 
 def parse(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``_f`` (pattern name) and the fields ``_y _mo _d _h _mi _s _us _zone _bracket`` and ``_epoch``.
+    """``df`` with ``_f`` (pattern name) and the fields ``_y _mo _d _h _mi _s _us _zone _bracket _dow`` and ``_epoch``.
 
     Nothing matches: all null. Fields are strings turned to ints; whether they
     make a date is checked later.
@@ -114,6 +116,7 @@ def parse(df: DataFrame, text: str) -> DataFrame:
         F.upper(at(8)).alias("_ampm"),
         at(9).alias("_zone"),
         at(10).alias("_bracket"),
+        at(11).alias("_dow"),
         F.when(length <= 10, digits * 1_000_000).when(length.isin(12, 13), digits * 1000).when(length >= 15, digits).alias("_epoch"),
     )
 
@@ -136,7 +139,7 @@ def instants(
     makes a reading local although the text marks it as UTC.
 
     Null when the text is null or matches no pattern, when the date or time is
-    impossible, when no zone is known, and when the local reading happened
+    impossible or the weekday isn't the date's, when no zone is known, and when the local reading happened
     twice or never. A zone abbreviation settles which of two readings is meant;
     one that the zone does not show at that reading gives null (GMT, where the
     zone has no such name, is offset 0). Added columns
@@ -169,7 +172,10 @@ def instants(
         & c("_mi").between(0, 59)
         & c("_s").between(0, 59)
     )
-    seconds = _days(c("_y"), c("_mo2"), c("_d2")) * 86400 + c("_h") * 3600 + c("_mi") * 60 + c("_s")
+    days = _days(c("_y"), c("_mo2"), c("_d2"))
+    # 1970-01-01 was a Thursday
+    good &= c("_dow").isNull() | (F.pmod(days + 3, F.lit(7)) * 3 + 1 == F.position(c("_dow"), F.lit(_DAYS)))
+    seconds = days * 86400 + c("_h") * 3600 + c("_mi") * 60 + c("_s")
     df = df.withColumn("_wall", F.when(good, seconds.cast("bigint") * 1_000_000 + c("_us")))
 
     mark = F.upper(c("_zone"))

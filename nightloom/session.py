@@ -55,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """``df`` as the small side of a join: broadcast if it holds at most ``rows`` rows, which are counted now, else joined by sort-merge.
 
     The optimizer's own size check isn't asked: behind a checkpoint or an

@@ -62,6 +62,8 @@ CASES = [
     ("2023-02-29 12:00:00", P, None, None, None, None),
     ("2023-02-28 24:00:00", P, None, None, None, None),
     ("0000-00-00 00:00:00", P, None, None, None, None),
+    ("Thu, 29 Feb 2024 12:00:00 GMT", None, None, None, None, us(2024, 2, 29, 12)),
+    ("Fri, 29 Feb 2024 12:00:00 GMT", P, None, None, None, None),
     ("22:41:07", P, None, None, None, None),
     ("unknown", P, None, None, None, None),
     ("", P, None, None, None, None),
