@@ -10,7 +10,7 @@ from ..operators.agreement import paired_ends
 from ..stages import LABELS, label_of
 from . import base
 from .base import KEYS, five_stage, hypnograms, sessions
-from .prep import instants
+from .prep import INSTANTS_SQL, instants
 
 QUERIES, SQL = {}, {}
 _EPOCHS5 = "(300 / freq_sec)"
@@ -193,7 +193,6 @@ def hyp_equal(spark, folder):
     return pairs.select("session_id", "epoch", (F.col("ref") == F.col("obs")).alias("equal"))
 
 
-@query(None)
 def hyp_align_offset(spark, folder):
     """Epochs by which each recording starts after its hypnogram; null where a start names no instant."""
     when = instants(spark, folder)
@@ -202,6 +201,15 @@ def hyp_align_offset(spark, folder):
     return rows.withColumn("a", H.alignment(F.col("r"), F.col("h"), F.col("freq_sec"))).select("hypno_id", "recording_id", "a.offset", "a.off_grid")
 
 
+QUERIES["hyp_align_offset"] = hyp_align_offset
+SQL["hyp_align_offset"] = (
+    INSTANTS_SQL
+    + """, o AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, scorer ORDER BY loaded_at DESC, hypno_id DESC) AS rn FROM sleep_session) WHERE rn = 1),
+g AS (SELECT hypno_id, recording_id, freq_sec, (r.utc_us - h.utc_us) / 1000000.0::DOUBLE / freq_sec AS n FROM o LEFT JOIN at_ h ON h.rec_id = hypno_id LEFT JOIN at_ r ON r.rec_id = recording_id)
+SELECT hypno_id, recording_id, round_even(n, 0)::INT AS "offset", abs(n - round_even(n, 0)) > 1e-6 AS off_grid FROM g"""
+)
+
+
 @query(", d AS (SELECT DISTINCT recording_id, channel, event_id, negpeak FROM sw_event WHERE negpeak IS NOT NULL), f AS (SELECT session_id, any_value(recording_id) AS recording_id, min(scorer) AS scorer FROM ses GROUP BY session_id), s AS (SELECT f.recording_id, f.session_id, f.scorer, ses.freq_sec FROM f JOIN ses USING (session_id, scorer)) SELECT event_id, d.recording_id, coalesce(hyp.code, -2)::INT AS code FROM d JOIN s ON s.recording_id = d.recording_id LEFT JOIN hyp ON hyp.session_id = s.session_id AND hyp.scorer = s.scorer AND hyp.epoch = floor(negpeak / freq_sec)::INT")
 def hyp_at_events(spark, folder):
     """Stage of each slow wave by the recording's first scorer, unscored beyond the hypnogram."""
