@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shipped
-from . import agree, det, ev, hyp, prep, sig
+from . import agree, det, ev, extra, hyp, prep, sig
 
-_MODULES = (hyp, ev, agree, sig, det, prep)
+_MODULES = (hyp, ev, agree, sig, det, extra, prep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

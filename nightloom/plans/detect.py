@@ -488,3 +488,108 @@ def resampled(signal: DataFrame, up: int, down: int) -> DataFrame:
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in _ID}, "start_sample": 0, "values": dsp.resample(joined(pdf), up, down)}])
 
     return signal.groupBy(*_ID).applyInPandas(work, "recording_id string, channel string, ch_idx int, start_sample bigint, values array<double>")
+
+
+def comodulogram(signal: DataFrame, sf: float, phase_bands: Sequence[tuple[float, float]], amp_bands: Sequence[tuple[float, float]], stages: DataFrame | None = None, *, freq_sec: float = 30.0, include: Sequence[int] = (2,), window: float = 15.0, bins: int = 18) -> DataFrame:
+    """``(recording_id, channel, ch_idx, phase_low, phase_high, amp_low, amp_high, pac, windows)``: phase-amplitude coupling of every pair of bands.
+
+    The included stages' samples are joined and filtered once per band, with
+    transitions of half its width; in each whole window the amplitude's mean by bin of the phase is compared with an
+    even one (divergence over its greatest value: 0 none, 1 full coupling), and
+    windows are averaged. Without stages all samples count; channels shorter
+    than a window give no rows.
+    """
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = joined(pdf)
+        stage = stage_at(pdf, len(x), sf, freq_sec)
+        x = x if stage is None else x[np.isin(stage, include)]
+        width = int(round(window * sf))
+        n = len(x) // width
+        names = ["phase_low", "phase_high", "amp_low", "amp_high", "pac", "windows"]
+        if not n:
+            return pd.DataFrame(columns=[*_ID, *names])
+        cut = lambda y: y[: n * width].reshape(n, width)
+        wave = lambda b: dsp.analytic(dsp.bandpass(x, sf, *b, *[min((b[1] - b[0]) / 2, b[0])] * 2))
+        amps = [cut(np.abs(wave(b))) for b in amp_bands]
+        rows = []
+        for p in phase_bands:
+            place = np.clip(np.floor((cut(np.angle(wave(p))) + np.pi) / (2 * np.pi) * bins).astype(int), 0, bins - 1)
+            flat = (place + np.arange(n)[:, None] * bins).ravel()
+            count = np.bincount(flat, minlength=n * bins).reshape(n, bins)
+            for a, amp in zip(amp_bands, amps):
+                mean = np.bincount(flat, weights=amp.ravel(), minlength=n * bins).reshape(n, bins) / np.maximum(count, 1)
+                share = mean / np.maximum(mean.sum(1, keepdims=True), 1e-300)
+                gone = np.where(share > 0, share * np.log(np.maximum(share, 1e-300)), 0.0).sum(1)
+                rows.append((*(pdf[c].iloc[0] for c in _ID), *map(float, (*p, *a)), float((1 + gone / np.log(bins)).mean()), n))
+        return pd.DataFrame(rows, columns=[*_ID, *names])
+
+    return with_stages(signal, stages).groupBy(*_ID).applyInPandas(work, "recording_id string, channel string, ch_idx int, phase_low double, phase_high double, amp_low double, amp_high double, pac double, windows int")
+
+
+def spindle_peaks(signal: DataFrame, sf: float, stages: DataFrame | None = None, *, freq_sec: float = 30.0, include: Sequence[int] = (2,), slow: tuple[float, float] = (10, 12), fast: tuple[float, float] = (12.5, 15), band: tuple[float, float] = (10, 15), window: float = 5.0, components: int = 2, block: int = 64) -> DataFrame:
+    """``(recording_id, components, slow_peak, fast_peak, freqs, slow_psd, fast_psd, eigenvalues)``: slow and fast spindle frequency by spatial filters.
+
+    Filters are the generalised eigenvectors of the channels' covariance in the
+    slow and the fast band; the spectra of the ``components`` most different
+    ones either way are averaged, and each peaks where it is greatest. A
+    component's spectrum follows from the cross-spectra of the channels, so a
+    task holds a channel, or ``block`` windows of all channels, and in the end a
+    recording's small matrices. Recordings with one channel, or less than a
+    window, give no row; channels that lack a window others have end it there.
+    """
+    width = int(round(window * sf))
+    taper = np.hamming(width)
+    freqs = np.fft.rfftfreq(width, 1 / sf)
+    kept = np.flatnonzero((freqs >= band[0]) & (freqs <= band[1]))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = joined(pdf)
+        stage = stage_at(pdf, len(x), sf, freq_sec)
+        x = x if stage is None else x[np.isin(stage, include)]
+        n = len(x) // width
+        if not n:
+            return pd.DataFrame(columns=["recording_id", "ch_idx", "w", "raw", "low", "high"])
+        parts = [list(y[: n * width].reshape(n, width)) for y in (x, dsp.bandpass(x, sf, *slow, 1.0, 1.0), dsp.bandpass(x, sf, *fast, 1.0, 1.0))]
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "ch_idx": pdf["ch_idx"].iloc[0], "w": np.arange(n), "raw": parts[0], "low": parts[1], "high": parts[2]})
+
+    windows = with_stages(signal, stages).groupBy(*_ID).applyInPandas(split, "recording_id string, ch_idx int, w int, raw array<double>, low array<double>, high array<double>")
+    windows = windows.withColumn("b", F.floor(F.col("w") / block))
+
+    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over a block's windows, one channel order for all."""
+        order = np.sort(pdf["ch_idx"].unique())
+        cross, low, high, n = 0.0, 0.0, 0.0, 0
+        for _, one in pdf.sort_values("ch_idx").groupby("w"):
+            if len(one) != len(order):
+                continue
+            raw, l, h = (np.stack(one[c].to_numpy()) for c in ("raw", "low", "high"))
+            z = np.fft.rfft((raw - raw.mean(1, keepdims=True)) * taper)[:, kept]
+            cross = cross + np.real(np.einsum("cf,df->fcd", z, z.conj()))
+            low, high, n = low + l @ l.T, high + h @ h.T, n + 1
+        if not n:
+            return pd.DataFrame(columns=["recording_id", "channels", "n", "cross", "low", "high"])
+        return pd.DataFrame([{"recording_id": pdf["recording_id"].iloc[0], "channels": order, "n": n, "cross": cross.ravel(), "low": low.ravel(), "high": high.ravel()}])
+
+    sums = windows.groupBy("recording_id", "b").applyInPandas(matrices, "recording_id string, channels array<int>, n int, cross array<double>, low array<double>, high array<double>")
+
+    def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = ["recording_id", "components", "slow_peak", "fast_peak", "freqs", "slow_psd", "fast_psd", "eigenvalues"]
+        full = max(pdf["channels"].map(len))
+        pdf = pdf[pdf["channels"].map(len) == full]
+        if full < 2:
+            return pd.DataFrame(columns=names)
+        total = lambda c, *shape: np.sum(pdf[c].to_numpy(), axis=0).reshape(*shape, full, full)
+        low, high, cross = total("low"), total("high"), total("cross", len(kept))
+        # slow against fast: whiten by the fast covariance, then an ordinary eigenproblem
+        value, vector = np.linalg.eigh(high)
+        white = vector / np.sqrt(np.maximum(value, value.max() * 1e-10))
+        gain, turn = np.linalg.eigh(white.T @ low @ white)
+        filters = (white @ turn)[:, ::-1]
+        psd = np.einsum("ck,fcd,dk->kf", filters, cross, filters)
+        k = min(components, full // 2)
+        ends = [psd[:k].mean(0), psd[-k:].mean(0)]
+        f = freqs[kept]
+        return pd.DataFrame([dict(zip(names, (pdf["recording_id"].iloc[0], k, float(f[ends[0].argmax()]), float(f[ends[1].argmax()]), f, ends[0], ends[1], gain[::-1])))])
+
+    return sums.groupBy("recording_id").applyInPandas(peaks, "recording_id string, components int, slow_peak double, fast_peak double, freqs array<double>, slow_psd array<double>, fast_psd array<double>, eigenvalues array<double>")
