@@ -218,7 +218,7 @@ class Events:
         return E.template(self.locked(samples, value, **window), self._place(), value)
 
     def coincidence(self, scaled: bool = True) -> DataFrame:
-        return E.coincidence(self.mask(), self.by, self.channel, scaled)
+        return E.coincidence(E.spans_of(self.df, self._place(), F.col("Start"), F.col("End"), self.sf), self.by, self.channel, scaled)
 
     def _tenths(self) -> DataFrame:
         return self.df.withColumn("tenths", E.deciseconds(F.col("Start")))

@@ -150,15 +150,32 @@ def compare_channels(events: DataFrame, by: Sequence[str], channel: str, at: str
     return m.withColumn("f1", f1).select(*by, "truth", "detected", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
-def coincidence(samples: DataFrame, by: Sequence[str], channel: str, scaled: bool = False) -> DataFrame:
+def spans_of(events: DataFrame, by: Sequence[str], start: Column, end: Column, sf: Column | float) -> DataFrame:
+    """``(by, first, last)``: the same samples as :func:`samples_of`, as disjoint spans that don't touch."""
+    at = lambda t: F.floor(t * sf).cast("bigint")
+    rows = events.where(start.isNotNull() & end.isNotNull() & (end >= start)).select(*by, at(start).alias("first"), at(end).alias("last"))
+    w = Window.partitionBy(*by).orderBy("first", "last")
+    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_g", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
+    rows = rows.withColumn("_g", F.sum("_g").over(w))
+    return rows.groupBy(*by, "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
+
+
+def coincidence(spans: DataFrame, by: Sequence[str], channel: str, scaled: bool = False, width: int = 4096) -> DataFrame:
     """``(by, c1, c2, value)``: samples in which two channels both have an event.
 
-    samples: ``(by, channel, sample)``, distinct. scaled: divided by the product
-    of both channels' samples, 1 on the diagonal.
+    spans: ``(by, channel, first, last)`` of samples, disjoint within a channel
+    (:func:`spans_of`). Spans meet in bins of ``width`` samples and overlaps are
+    summed, so rows follow the events, not their samples. scaled: divided by
+    the product of both channels' samples, 1 on the diagonal.
     """
-    s = samples.select(*by, F.col(channel).alias("c1"), "sample")
-    both = s.join(s.withColumnRenamed("c1", "c2"), [*by, "sample"]).groupBy(*by, "c1", "c2").agg(F.count(F.lit(1)).alias("both"))
-    n = s.groupBy(*by, "c1").agg(F.count(F.lit(1)).alias("n1"))
+    s = spans.select(*by, F.col(channel).alias("c1"), "first", "last")
+    bins = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    bins = bins.select(*by, "c1", "_b", F.greatest("first", F.col("_b") * width).alias("f1"), F.least("last", F.col("_b") * width + (width - 1)).alias("l1"))
+    met = bins.join(bins.withColumnsRenamed({"c1": "c2", "f1": "f2", "l1": "l2"}), [*by, "_b"])
+    shared = F.least("l1", "l2") - F.greatest("f1", "f2") + 1
+    both = met.where(shared > 0).groupBy(*by, "c1", "c2").agg(F.sum(shared).alias("both"))
+    n = s.groupBy(*by, "c1").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n1"))
     grid = n.join(n.withColumnsRenamed({"c1": "c2", "n1": "n2"}), list(by)).join(both, [*by, "c1", "c2"], "left").fillna(0, ["both"])
     value = F.when(F.col("c1") == F.col("c2"), F.lit(1.0)).otherwise(F.try_divide(F.col("both").cast("double"), F.col("n1") * F.col("n2"))) if scaled else F.col("both").cast("double")
     return grid.select(*by, "c1", "c2", value.alias("value"))

@@ -154,7 +154,7 @@ def _coincidence(scaled):
     value = "CASE WHEN a.c = b.c THEN 1.0 ELSE coalesce(k, 0)::DOUBLE / (a.n * b.n) END" if scaled else "coalesce(k, 0)::DOUBLE"
 
     def f(spark, folder):
-        s = E.samples_of(spindles(spark, folder), ["recording_id", "channel"], F.col("start"), F.col("start") + F.col("duration"), 10.0)
+        s = E.spans_of(spindles(spark, folder), ["recording_id", "channel"], F.col("start"), F.col("start") + F.col("duration"), 10.0)
         return E.coincidence(s, ["recording_id"], "channel", scaled).withColumn("value", F.round("value", 12))
 
     f.__name__ = "ev_coincidence_scaled" if scaled else "ev_coincidence"

@@ -74,13 +74,29 @@ def test_cooccurring(spark):
 
 
 def test_coincidence(spark):
-    s = spark.createDataFrame([("r", "a", 1), ("r", "a", 2), ("r", "b", 2), ("r", "b", 3), ("r", "b", 4)], "r string, c string, sample int")
+    s = spark.createDataFrame([("r", "a", 1, 2), ("r", "b", 2, 4)], "r string, c string, first bigint, last bigint")
     raw = {(r.c1, r.c2): r.value for r in E.coincidence(s, ["r"], "c").collect()}
     assert raw == {("a", "a"): 2, ("b", "b"): 3, ("a", "b"): 1, ("b", "a"): 1}
     scaled = {(r.c1, r.c2): r.value for r in E.coincidence(s, ["r"], "c", True).collect()}
     assert scaled["a", "a"] == 1 and scaled["a", "b"] == pytest.approx(1 / 6)
 
 
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_coincidence_counts_samples(spark, width):
+    rng = __import__("numpy").random.default_rng(4)
+    rows = [(r, c, float(rng.integers(-20, 200)) / 10, float(rng.integers(0, 40)) / 10) for r in "xy" for c in "abc" for _ in range(12)] + [("x", "a", None, 1.0), ("x", "b", 3.0, None)]
+    events = spark.createDataFrame(rows, "r string, c string, s double, d double")
+    end = F.col("s") + F.col("d")
+    held = {}
+    for r in E.samples_of(events, ["r", "c"], F.col("s"), end, 10.0).collect():
+        held.setdefault((r.r, r.c), set()).add(r.sample)
+    spans = E.spans_of(events, ["r", "c"], F.col("s"), end, 10.0)
+    assert {(x.r, x.c): x.n for x in spans.groupBy("r", "c").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n")).collect()} == {k: len(v) for k, v in held.items()}
+    got = {(x.r, x.c1, x.c2): x.value for x in E.coincidence(spans, ["r"], "c", width=width).collect()}
+    assert got == {(r, a, b): len(held[r, a] & held[r, b]) for r in "xy" for a in "abc" for b in "abc"}
+    assert E.coincidence(spans.limit(0), ["r"], "c").count() == 0
+
+
 def test_no_nested_loops(spark):
     plan = E.compare(times(spark, DET), times(spark, GT), ["r"], "t", 2)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
