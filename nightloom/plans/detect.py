@@ -443,14 +443,14 @@ def aperiodic(signal: DataFrame, sf: float, *, band: tuple[float, float] = (1, 3
     return signal.groupBy(*_ID).applyInPandas(work, "recording_id string, channel string, ch_idx int, freqs array<double>, aperiodic array<double>, oscillatory array<double>, intercept double, slope double, r2 double, sd_osc double")
 
 
-def spectrogram(signal: DataFrame, sf: float, *, window: float = 2.0, step: float = 0.2, band: tuple[float, float] = (1, 30), norm: bool = False) -> DataFrame:
-    """``(recording_id, channel, t, freqs, power)``: one row a frame."""
+def spectrogram(signal: DataFrame, sf: float, *, window: float = 2.0, step: float = 0.2, band: tuple[float, float] = (1, 30), norm: bool = False, interp: bool = False) -> DataFrame:
+    """``(recording_id, channel, t, freqs, power)``: one row a frame, or a sample with ``interp``."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         x = joined(pdf)
         if len(x) < window * sf:
             return pd.DataFrame(columns=["recording_id", "channel", "t", "freqs", "power"])
-        f, t, p = dsp.stft(x, sf, window, step, band, norm)
+        f, t, p = dsp.stft(x, sf, window, step, band, norm, interp)
         return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "channel": pdf["channel"].iloc[0], "t": t, "freqs": [f] * len(t), "power": list(p.T)})
 
     return signal.groupBy("recording_id", "channel").applyInPandas(work, "recording_id string, channel string, t double, freqs array<double>, power array<double>")

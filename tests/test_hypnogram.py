@@ -1,7 +1,10 @@
-"""Goldens of stage sequences."""
+"""Stage sequences against plain Python."""
 
+import itertools
 import json
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -21,51 +24,69 @@ def codes(df):
     return [r.code for r in df.orderBy("epoch").collect()]
 
 
-RUNS = [0] * 11 + [1] * 3 + [0] * 2 + [1] * 9 + [0] * 2
+def drawn(seed, n=60, stages=(0, 1, 2, 3, 4), stay=0.6):
+    """A sequence that often stays in a stage."""
+    rng = np.random.default_rng(seed)
+    out = [int(rng.choice(stages))]
+    while len(out) < n:
+        out.append(out[-1] if rng.random() < stay else int(rng.choice(stages)))
+    return out
 
 
-def test_runs(spark):
-    found = {tuple(r) for r in H.runs(hyp(spark, RUNS), K).select("value", "start", "length").collect()}
-    assert found == {(0, 0, 11), (1, 11, 3), (0, 14, 2), (1, 16, 9), (0, 25, 2)}
-    found = {tuple(r) for r in H.runs(hyp(spark, RUNS), K, 5).select("value", "start", "length").collect()}
-    assert found == {(0, 0, 11), (1, 16, 9)}
+def brute_runs(x):
+    found, at = [], 0
+    for value, part in itertools.groupby(x):
+        size = len(list(part))
+        found.append((value, at, size))
+        at += size
+    return found
 
 
-def test_runs_equal_length(spark):
-    found = sorted(r.start for r in H.runs(hyp(spark, RUNS), K, 2, True).collect())
-    assert found == [0, 2, 4, 6, 8, 11, 14, 16, 18, 20, 22, 25]
+@pytest.mark.parametrize("seed,least", [(0, 1), (1, 2), (2, 5)])
+def test_runs(spark, seed, least):
+    x = drawn(seed)
+    found = {tuple(r) for r in H.runs(hyp(spark, x), K, least).select("value", "start", "length").collect()}
+    assert found == {r for r in brute_runs(x) if r[2] >= least}
 
 
-def test_runs_of_many_stages(spark):
-    x = [0, 0, 0, 0, 1] + [2] * 6 + [0, 0, 0, 1, 0, 1]
-    found = {tuple(r) for r in H.runs(hyp(spark, x), K).select("value", "start", "length").collect()}
-    assert found == {(0, 0, 4), (1, 4, 1), (2, 5, 6), (0, 11, 3), (1, 14, 1), (0, 15, 1), (1, 16, 1)}
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_runs_equal_length(spark, least):
+    x = drawn(5, stages=(0, 1))
+    found = {tuple(r) for r in H.runs(hyp(spark, x), K, least, True).select("value", "start", "length").collect()}
+    assert found == {(v, at + least * k, least) for v, at, size in brute_runs(x) for k in range(size // least)}
 
 
 def test_transitions(spark):
-    t = H.transitions(hyp(spark, [1, 1, 1, 0, 0, 2, 2, 0, 2, 0, 1, 1, 0, 0]), K)
-    counts = {(r["from"], r.to): r.n for r in t.collect()}
-    assert counts == {(0, 0): 2, (0, 1): 1, (0, 2): 2, (1, 0): 2, (1, 1): 3, (2, 0): 2, (2, 2): 1}
-    p = {(r["from"], r.to): r.p for r in t.collect()}
-    assert p[1, 1] == pytest.approx(0.6) and p[2, 0] == pytest.approx(2 / 3)
-
-
-def test_statistics(spark):
-    x = [0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 2, 3, 3, 4, 4, 4, 4, 0, 0]
-    r = H.sleep_statistics(hyp(spark, x).withColumn("freq_sec", F.lit(30.0)), K).first().asDict()
-    want = {"TIB": 10, "SPT": 8, "WASO": 0, "TST": 8, "N1": 1.5, "N2": 2, "N3": 2.5, "REM": 2, "NREM": 6, "SOL": 1, "Lat_N1": 1, "Lat_N2": 2.5, "Lat_N3": 4, "Lat_REM": 7, "pct_N1": 18.75, "pct_N2": 25, "pct_N3": 31.25, "pct_REM": 25, "pct_NREM": 75, "SE": 80, "SME": 100}
-    assert {k: r[k] for k in want} == want
-
-
-def test_statistics_fragmentation(spark):
-    x = [0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 1]
-    r = H.sleep_statistics(hyp(spark, x).withColumn("freq_sec", F.lit(30.0)), K).first()
-    assert (r.TIB, r.SPT, r.WASO, r.TST, r.SFI, r.SFI_per_hour, r.SOL, r.SOL_5min, r.SE, r.SME) == (6, 4.5, 0.5, 4, 7.5, 15, 1.5, None, 66.6667, 88.8889)
+    x = drawn(7, 80)
+    t = H.transitions(hyp(spark, x), K).collect()
+    steps = Counter(zip(x, x[1:]))
+    assert {(r["from"], r.to): r.n for r in t} == steps
+    for r in t:
+        assert r.p == pytest.approx(r.n / sum(n for (a, _), n in steps.items() if a == r["from"]))
+
+
+@pytest.mark.parametrize("seed", [0, 3, 11])
+def test_statistics(spark, seed):
+    x = [0] * seed + drawn(seed, 90, (0, 1, 2, 3, 4, -1, -2), 0.8) + [0]
+    freq = 30.0
+    r = H.sleep_statistics(hyp(spark, x).withColumn("freq_sec", F.lit(freq)), K).first().asDict()
+    asleep = [i for i, c in enumerate(x) if c > 0]
+    first, last, sleep, m = asleep[0], asleep[-1], len(asleep), freq / 60
+    want = {"TIB": len(x) * m, "SPT": (last - first + 1) * m, "TST": sleep * m, "SOL": first * m, "WASO": x[first : last + 1].count(0) * m}
+    want |= {"WAKE": x.count(0) * m, "ART": x.count(-1) * m, "UNS": x.count(-2) * m, "NREM": sum(x.count(c) for c in (1, 2, 3)) * m, "SE": 100 * sleep / len(x), "SME": 100 * sleep / (last - first + 1)}
+    for name, c in (("N1", 1), ("N2", 2), ("N3", 3), ("REM", 4)):
+        want |= {name: x.count(c) * m, f"pct_{name}": 100 * x.count(c) / sleep, f"Lat_{name}": x.index(c) * m if c in x else None}
+    breaks = sum(a > 0 and b == 0 for a, b in zip(x, x[1:]))
+    want |= {"SFI_per_hour": breaks / (sleep * m / 60), "SFI": breaks / (sleep * m / 60) * m}
+    spans = [(at, size) for value, at, size in brute_runs([c > 0 for c in x]) if value and size * freq >= 300]
+    want["SOL_5min"] = spans[0][0] * m if spans else None
+    for name, value in want.items():
+        assert (r[name] is None) == (value is None) and (value is None or r[name] == pytest.approx(value, abs=6e-5)), name
 
 
 def test_statistics_without_sleep(spark):
-    r = H.sleep_statistics(hyp(spark, [0] * 100 + [-1] * 10 + [-2] * 30).withColumn("freq_sec", F.lit(30.0)), K).first()
-    assert (r.SPT, r.TST, r.N3, r.Lat_REM, r.WASO, r.SME, r.SFI, r.ART, r.UNS) == (0, 0, 0, None, None, None, None, 5, 15)
+    r = H.sleep_statistics(hyp(spark, [0] * 41 + [-1] * 6 + [-2] * 13).withColumn("freq_sec", F.lit(30.0)), K).first()
+    assert (r.SPT, r.TST, r.N3, r.Lat_REM, r.WASO, r.SME, r.SFI, r.ART, r.UNS) == (0, 0, 0, None, None, None, None, 3, 6.5)
 
 
 def test_shape_changes(spark):
@@ -128,6 +149,7 @@ def test_foreign_codes(spark):
         spark.createDataFrame([(7,)], "x int").select(H.checked_codes(F.col("x"), m)).collect()
 
 
+# What these seeds must draw.
 def test_simulation(spark):
     one = simulate.simulate(spark, 1, 4, first_seed=1)
     assert [r.code for r in one.orderBy("epoch").collect()] == [0, 1, 1, 2, 2, 2, 2, 2]

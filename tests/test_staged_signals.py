@@ -80,3 +80,33 @@ def test_resampled_blocks_join(monkeypatch):
     whole = dsp.resample(x, 3, 7)
     monkeypatch.setattr(dsp, "_BLOCK", 50)
     assert np.abs(dsp.resample(x, 3, 7) - whole).max() < 1e-12
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9, 60, 300])
+def test_spline_against_dense_system(n):
+    y = np.random.default_rng(n).normal(size=(2, n))
+    at = np.linspace(-1, n, 57)
+    got = dsp.spline(y, at)
+    x = np.clip(at, 0, n - 1)
+    if n < 4:
+        want = np.stack([np.interp(x, np.arange(n), row) for row in y])
+    else:
+        a = np.zeros((n, n))
+        rhs = np.zeros((n, 2))
+        a[0, :3] = a[-1, -3:] = [1, -2, 1]
+        for i in range(1, n - 1):
+            a[i, i - 1 : i + 2] = [1, 4, 1]
+            rhs[i] = 6 * (y[:, i - 1] - 2 * y[:, i] + y[:, i + 1])
+        m = np.linalg.solve(a, rhs).T
+        i = np.minimum(x.astype(int), n - 2)
+        u = x - i
+        want = y[:, i] * (1 - u) + y[:, i + 1] * u + ((1 - u) ** 3 - (1 - u)) * m[:, i] / 6 + (u**3 - u) * m[:, i + 1] / 6
+    assert np.abs(got - want).max() < 1e-10
+
+
+def test_stft_at_samples():
+    x = np.sin(2 * np.pi * 10 * np.arange(1000) / SF) * np.linspace(0, 5, 1000)
+    f, t, coarse = dsp.stft(x, SF)
+    _, fine_t, fine = dsp.stft(x, SF, interp=True)
+    assert fine.shape == (len(f), 1000) and np.abs(fine[:, ::20] - coarse[:, :50]).max() < 1e-12
+    assert np.abs(dsp.stft(x, SF, norm=True, interp=True)[2].sum(0) - 1).max() < 1e-9 and len(fine_t) == 1000
