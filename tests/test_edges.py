@@ -82,7 +82,7 @@ def test_events_edges(spark):
     e = spark.createDataFrame([], "r string, c string, Start double, End double, id int")
     assert E.summary(e, ["r"], ["Start"]).count() == 0 and E.on_several(e, ["r"], "Start", F.col("End")).count() == 0
     assert E.merge_close(e.select("r", F.col("id").alias("s")), ["r"], "s", 3).count() == 0
-    assert E.coincidence(e.select("r", "c", F.col("id").alias("sample")), ["r"], "c").count() == 0
+    assert E.coincidence(E.spans_of(e, ["r", "c"], F.col("Start"), F.col("End"), 10.0), ["r"], "c").count() == 0
     minutes = spark.createDataFrame([("r", 0.0)], "r string, minutes double")
     assert E.density(spark.createDataFrame([("r", 3)], "r string, Count int"), minutes, ["r"]).first().Density is None
 
