@@ -209,22 +209,30 @@ def stage_minutes(hyp: DataFrame, keys: Sequence[str], freq: str = "freq_sec") -
     return hyp.groupBy(*keys, "code").agg((F.count(F.lit(1)) * F.max(freq) / 60).alias("minutes"))
 
 
-def as_json(hyp: DataFrame, keys: Sequence[str], session: DataFrame) -> DataFrame:
+def as_json(hyp: DataFrame, keys: Sequence[str], session: DataFrame, proba: str | None = None) -> DataFrame:
     """``(keys, json)``: each hypnogram as one object with values, n_stages, freq, start, scorer and proba.
 
-    session: ``(keys, n_stages, freq_sec, start, scorer_name)``. The values of a
-    sequence are collected: a document is one string by nature.
+    session: ``(keys, n_stages, freq_sec, start, scorer_name)``. proba: a column
+    with each epoch's probabilities by label, written as a list a label, to six
+    decimals; null without the column, or where an epoch has none. The values of
+    a sequence are collected: a document is one string by nature.
     """
-    values = hyp.join(session.select(*keys, "n_stages"), list(keys)).select(*keys, "epoch", label_of(F.col("code"), F.col("n_stages")).alias("label"))
-    listed = values.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "label"))), lambda s: s["label"]).alias("values"))
-    whole = listed.join(session, list(keys))
+    types = "map<string,array<double>>"
+    given = F.col(proba) if proba else F.lit(None).cast("map<string,double>")
+    values = hyp.withColumn("_p", given).join(session.select(*keys, "n_stages"), list(keys)).select(*keys, F.struct("epoch", label_of(F.col("code"), F.col("n_stages")).alias("label"), F.map_entries("_p").alias("p")).alias("_s"))
+    listed = values.groupBy(*keys).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
+    labels = F.transform(F.col("_s")[0]["p"], lambda e: e["key"])
+    of = lambda k: F.transform("_s", lambda s: F.round(F.try_element_at(F.map_from_entries(s["p"]), k), 6))
+    whole = F.map_from_arrays(labels, F.transform(labels, of))
+    listed = listed.select(*keys, F.transform("_s", lambda s: s["label"]).alias("values"), F.when(~F.exists("_s", lambda s: s["p"].isNull()), whole).cast(types).alias("proba")).join(session, list(keys))
     freq = F.concat(F.format_string("%d", F.col("freq_sec").cast("int")), F.lit("s"))
-    doc = F.struct("values", "n_stages", freq.alias("freq"), "start", F.col("scorer_name").alias("scorer"), F.lit(None).cast("map<string,array<double>>").alias("proba"))
-    return whole.select(*keys, F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+    doc = F.struct("values", "n_stages", freq.alias("freq"), "start", F.col("scorer_name").alias("scorer"), "proba")
+    return listed.select(*keys, F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def from_json(docs: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """``(keys, epoch, label, n_stages, freq, start, scorer_name)`` from such objects; malformed ones give no rows."""
+    """``(keys, epoch, label, n_stages, freq, start, scorer_name, proba)`` from such objects; malformed ones give no rows."""
     schema = "values array<string>, n_stages int, freq string, start string, scorer string, proba map<string,array<double>>"
     d = docs.select(*keys, F.from_json(column, schema).alias("d"))
-    return d.select(*keys, F.posexplode("d.values").alias("epoch", "label"), "d.n_stages", "d.freq", "d.start", F.col("d.scorer").alias("scorer_name"))
+    rows = d.select(*keys, F.posexplode("d.values").alias("epoch", "label"), "d.n_stages", "d.freq", "d.start", F.col("d.scorer").alias("scorer_name"), F.col("d.proba").alias("_p"))
+    return rows.withColumn("proba", F.transform_values("_p", lambda _, v: F.get(v, F.col("epoch")))).drop("_p")

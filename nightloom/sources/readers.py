@@ -89,7 +89,10 @@ _MICROVOLTS = {"v": 1e6, "mv": 1e3, "uv": 1.0, "µv": 1.0, "μv": 1.0, "nv": 1e-
 
 
 def parse_edf(content: bytes) -> list[tuple[str, float, np.ndarray]]:
-    """``(label, sampling frequency, physical values)`` of each signal of an EDF file; voltages in microvolts, annotations left out."""
+    """``(label, sampling frequency, physical values)`` of each signal of an EDF or BDF file; voltages in microvolts, annotations left out.
+
+    BDF differs by its first byte, 255, and by samples of three bytes.
+    """
     text = lambda a, b: content[a:b].decode("latin-1").strip()
     start, records, length, n = int(text(184, 192)), int(text(236, 244)), float(text(244, 252)), int(text(252, 256))
     at, fields = 256, {}
@@ -97,7 +100,12 @@ def parse_edf(content: bytes) -> list[tuple[str, float, np.ndarray]]:
         fields[name] = [text(at + i * width, at + (i + 1) * width) for i in range(n)]
         at += n * width
     per = [int(s) for s in fields["samples"]]
-    raw = np.frombuffer(content, "<i2", offset=start)
+    if content[0] == 255:
+        parts = np.frombuffer(content, np.uint8, offset=start)
+        parts = parts[: len(parts) // 3 * 3].reshape(-1, 3).astype(np.int32)
+        raw = parts[:, 0] | parts[:, 1] << 8 | (parts[:, 2] ^ 128) - 128 << 16
+    else:
+        raw = np.frombuffer(content, "<i2", offset=start, count=(len(content) - start) // 2)
     size = sum(per)
     records = len(raw) // size if records < 0 else min(records, len(raw) // size)
     raw = raw[: records * size].reshape(records, size)
@@ -105,7 +113,7 @@ def parse_edf(content: bytes) -> list[tuple[str, float, np.ndarray]]:
     for i in range(n):
         values = raw[:, first : first + per[i]].ravel().astype(float)
         first += per[i]
-        if re.match(r"EDF Annotations", fields["label"][i]):
+        if re.match(r"[EB]DF Annotations", fields["label"][i]):
             continue
         pmin, pmax, dmin, dmax = (float(fields[k][i]) for k in ("pmin", "pmax", "dmin", "dmax"))
         physical = (values - dmin) * (pmax - pmin) / (dmax - dmin) + pmin
@@ -126,10 +134,52 @@ def recordings_edf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def signal_edf(spark: SparkSession, path: str) -> DataFrame:
-    """Signal chunks of EDF files in microvolts."""
+    """Signal chunks of EDF and BDF files in microvolts."""
 
     def parse(content: bytes) -> Iterator[pd.DataFrame]:
         for i, (label, sf, x) in enumerate(parse_edf(content)):
             yield from _chunks(label, i, sf, x)
 
     return _files(spark, path, _SIGNAL, parse)
+
+
+def parse_brainvision(header: str, content: bytes) -> list[tuple[str, float, np.ndarray]]:
+    """``(label, sampling frequency, values)`` of each channel of a binary BrainVision recording; voltages in microvolts."""
+    told = {k.strip(): v.strip() for k, v in re.findall(r"^([A-Za-z]\w*)=(.*)$", header, re.M)}
+    if told.get("DataFormat", "BINARY").upper() != "BINARY":
+        raise ValueError(f"data format {told['DataFormat']}")
+    n, sf = int(told["NumberOfChannels"]), 1e6 / float(told["SamplingInterval"])
+    kinds = {"INT_16": "<i2", "INT_32": "<i4", "IEEE_FLOAT_32": "<f4", "IEEE_FLOAT_64": "<f8"}
+    kind = np.dtype(kinds[told["BinaryFormat"].upper()])
+    x = np.frombuffer(content, kind, count=len(content) // kind.itemsize // n * n).astype(float)
+    x = x.reshape(-1, n).T if told.get("DataOrientation", "MULTIPLEXED").upper() == "MULTIPLEXED" else x.reshape(n, -1)
+    out = []
+    for i in range(n):
+        name, _, resolution, unit = [*(p.strip().replace("\\1", ",") for p in told[f"Ch{i + 1}"].split(",")), "", "", ""][:4]
+        out.append((name, sf, x[i] * float(resolution or 1) * _MICROVOLTS.get((unit or "uv").lower(), 1.0)))
+    return out
+
+
+def signal_brainvision(spark: SparkSession, path: str) -> DataFrame:
+    """Signal chunks of BrainVision recordings: headers (``.vhdr``) of a folder with the data files they name.
+
+    Header and data meet by the folder and the file's name (``$b`` is the
+    header's); a header without its data gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    text = F.decode("content", "UTF-8")
+    heads = files.where(F.lower("path").endswith(".vhdr")).select(F.col("path"), text.alias("header"), folder.alias("folder"), F.replace(F.trim(F.regexp_extract(text, r"(?m)^DataFile=([^\r\n]*)", 1)), F.lit("$b"), base).alias("file"))
+    data = files.where(~F.lower("path").rlike(r"\.(vhdr|vmrk)$")).select(folder.alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, header, content in zip(pdf["path"], pdf["header"], pdf["content"]):
+                for i, (label, sf, x) in enumerate(parse_brainvision(header, content)):
+                    for chunk in _chunks(label, i, sf, x):
+                        chunk.insert(0, "path", path)
+                        yield chunk
+
+    met = heads.join(data.hint("merge"), ["folder", "file"]).select("path", "header", "content")
+    return met.mapInPandas(parse, f"path string, {_SIGNAL}")

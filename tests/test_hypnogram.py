@@ -134,6 +134,18 @@ def test_json_round_trip(spark):
     assert [r.label for r in back.orderBy("epoch").collect()] == ["WAKE", "N2", "REM"]
 
 
+def test_probabilities_round_trip(spark):
+    p = [{"WAKE": 0.9, "N2": 0.1}, {"WAKE": 0.25, "N2": 0.7500000004}]
+    rows = [("a", i, c, m) for i, (c, m) in enumerate(zip([0, 2], p))] + [("b", 0, 0, None)]
+    h = spark.createDataFrame(rows, "s string, epoch int, code int, p map<string,double>")
+    ses = spark.createDataFrame([(k, 5, 30.0, None, "me") for k in "ab"], "s string, n_stages int, freq_sec double, start string, scorer_name string")
+    docs = H.as_json(h, K, ses, "p")
+    told = {r.s: json.loads(r.json) for r in docs.collect()}
+    assert told["a"]["proba"] == {"WAKE": [0.9, 0.25], "N2": [0.1, 0.75]} and told["b"]["proba"] is None
+    back = {(r.s, r.epoch): r.proba for r in H.from_json(docs, "json", K).collect()}
+    assert back == {("a", 0): p[0], ("a", 1): {"WAKE": 0.25, "N2": 0.75}, ("b", 0): None}
+
+
 def test_spelling(spark):
     rows = spark.createDataFrame([(" n2 ",), ("s4",), ("Mt",), ("-2",), ("",), (None,), ("N9",)], "x string")
     assert [r[0] for r in rows.select(code_of(F.col("x"))).collect()] == [2, 3, -1, -2, None, None, None]

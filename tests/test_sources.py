@@ -5,6 +5,7 @@ import struct
 from datetime import datetime
 
 import numpy as np
+import pytest
 
 from nightloom.sources import readers, writers
 from nightloom.streaming import live
@@ -54,6 +55,34 @@ def test_edf_and_npz(spark, tmp_path):
     assert {q.channel for q in rows} == {"CHAN000", "CHAN001"} and sum(len(q["values"]) for q in rows) == 14000
 
 
+def test_bdf(spark, tmp_path):
+    """The same recording as an EDF file, its samples three bytes wide."""
+    x = [0, 1, -1, 1999, -2000, 300]
+    small = edf(x * 100, sf=100)
+    start = int(small[184:192])
+    wide = np.frombuffer(small, "<i2", offset=start).astype("<i4")
+    body = b"".join(int(v).to_bytes(3, "little", signed=True) for v in wide)
+    (tmp_path / "x.edf").write_bytes(small)
+    (tmp_path / "x.bdf").write_bytes(b"\xffBIOSEMI" + small[8:start] + body)
+    rows = readers.signal_edf(spark, str(tmp_path)).collect()
+    by = {r.path[-3:]: (r.channel, r.sf, list(r["values"])) for r in rows}
+    assert by["edf"] == by["bdf"] and len(by["bdf"][2]) == 600
+    big = readers.parse_edf(b"\xffBIOSEMI" + small[8:start] + (8388607).to_bytes(3, "little", signed=True) + (-8388608).to_bytes(3, "little", signed=True) + body[6:])
+    assert big[0][2][0] > 0 > big[0][2][1]
+
+
+@pytest.mark.parametrize("layout", ["MULTIPLEXED", "VECTORIZED"])
+def test_brainvision(spark, tmp_path, layout):
+    x = np.arange(-600, 600).reshape(2, 600).astype("<i2")
+    head = f"Brain Vision Data Exchange Header File Version 1.0\n[Common Infos]\nDataFile=$b.eeg\nDataFormat=BINARY\nDataOrientation={layout}\nNumberOfChannels=2\nSamplingInterval=10000\n[Binary Infos]\nBinaryFormat=INT_16\n[Channel Infos]\nCh1=C3,,0.5,µV\nCh2=a\\1b,,2,mV\n"
+    (tmp_path / "one.vhdr").write_text(head, encoding="utf-8")
+    (tmp_path / "one.eeg").write_bytes((x.T if layout == "MULTIPLEXED" else x).tobytes())
+    (tmp_path / "lost.vhdr").write_text(head, encoding="utf-8")
+    rows = readers.signal_brainvision(spark, str(tmp_path)).orderBy("ch_idx").collect()
+    assert [(r.channel, r.sf, r.start_sample) for r in rows] == [("C3", 100.0, 0), ("a,b", 100.0, 0)]
+    assert list(rows[0]["values"]) == (x[0] * 0.5).tolist() and list(rows[1]["values"]) == (x[1] * 2000.0).tolist()
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0, [1, 2]), ("b", None, None)], "k string, x double, v array<int>")
     writers.to_csv(df, str(tmp_path / "c"))
