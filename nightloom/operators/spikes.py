@@ -4,9 +4,9 @@ Peaks over threshold: each reading's residual from its season's level is
 divided by the source's scatter; beyond a high quantile a generalised Pareto
 tail is fitted per source, and its quantile at a fixed risk is the source's
 cutoff. A season is a stage, and a stretch of the night in it; its level is
-drawn towards the next wider one by its number of readings. Tails are drawn the
-same way: a source's histogram of residuals is mixed with that of all sources,
-so a short recording has the tail of its field and a long one its own.
+drawn towards the next wider one by its number of readings. Cutoffs are drawn the
+same way to that of all sources, so a short recording has the tail of its field
+and a long one its own.
 Readings of a plausibility table and long runs of equal values are flagged
 beside it and left aside in every estimate.
 
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded, cut
@@ -33,6 +33,8 @@ from .sequence import equal_runs, whole_groups
 
 #: Width of the histogram's bins, in scales.
 STEP = 1 / 16
+#: Readings that a source counts for at most among all sources.
+VOICE = 1000
 #: Rows up to which a source may be one stretch of a task.
 WHOLE = 200_000
 
@@ -45,31 +47,37 @@ def readings(df: DataFrame, ident: str, source: str, time: str, season: str, fie
     return long.select("ident", "source", "time", "season", "r.field", "r.value", ((F.col("r.value") < F.col("r.lo")) | (F.col("r.value") > F.col("r.hi"))).alias("implausible"))
 
 
+def _cutoffs(counts: np.ndarray, risk: float, share: float) -> np.ndarray:
+    """Quantile at ``risk`` of the tail of each histogram ``[rows, bins]``."""
+    mid = (np.arange(counts.shape[1]) + 0.5) * STEP
+    n = counts.sum(1)
+    beyond = counts[:, ::-1].cumsum(1)[:, ::-1] / n[:, None]
+    at = np.minimum((beyond > share).sum(1), counts.shape[1] - 1)
+    tail = counts * (np.arange(counts.shape[1]) >= at[:, None])
+    peaks = tail.sum(1)
+    mean = (tail * mid).sum(1) / peaks - at * STEP
+    spread = (tail * (mid - (at * STEP + mean)[:, None]) ** 2).sum(1) / peaks
+    shape = np.clip(0.5 * (1 - mean * mean / np.maximum(spread, 1e-12)), 0.0, 0.5)
+    scale, often = mean * (1 - shape), np.maximum(peaks / n / risk, 1.0)
+    safe = np.maximum(shape, 1e-9)
+    return at * STEP + np.where(shape < 1e-6, scale * np.log(often), scale / safe * (often**safe - 1))
+
+
 def tail_cutoffs(own: np.ndarray, all_sources: np.ndarray, risk: float, share: float, prior: float) -> np.ndarray:
     """Cutoff of each row of ``own [sources, bins]`` at ``risk``; NaN where no source has a reading.
 
-    Histograms are mixed with ``prior`` readings distributed as
-    ``all_sources``, and these with 100 of a standard normal, so that few
-    readings in all still have a tail. The threshold is the first bin edge
+    A source's own cutoff is drawn to that of ``all_sources`` with the weight of
+    ``prior`` readings. Every histogram gets 100 readings of a standard normal,
+    so that a few readings still have a tail. The threshold is the first bin edge
     beyond which at most ``share`` of the readings lie. Shape and scale follow
     from mean and variance of the excesses; the shape is kept between 0 and
     0.5, as a tail taken for bounded would end at the largest reading seen.
     """
     mid = (np.arange(own.shape[1]) + 0.5) * STEP
     normal = np.exp(-0.5 * mid * mid)
-    pooled = all_sources + 100 * normal / normal.sum()
-    mixed = own + prior * pooled / pooled.sum()
-    n = mixed.sum(1)
-    beyond = mixed[:, ::-1].cumsum(1)[:, ::-1] / n[:, None]
-    at = np.minimum((beyond > share).sum(1), own.shape[1] - 1)
-    tail = mixed * (np.arange(own.shape[1]) >= at[:, None])
-    peaks = tail.sum(1)
-    mean = (tail * mid).sum(1) / peaks - at * STEP
-    spread = (tail * (mid - (at * STEP + mean)[:, None]) ** 2).sum(1) / peaks
-    shape = np.clip(0.5 * (1 - mean * mean / np.maximum(spread, 1e-12)), 0.0, 0.5)
-    scale, often = mean * (1 - shape), np.maximum(peaks / n / risk, 1.0)
-    safe = np.maximum(shape, 1e-9)
-    cutoff = at * STEP + np.where(shape < 1e-6, scale * np.log(often), scale / safe * (often**safe - 1))
+    normal *= 100 / normal.sum()
+    n = own.sum(1)
+    cutoff = (n * _cutoffs(own + normal, risk, share) + prior * _cutoffs((all_sources + normal)[None], risk, share)) / (n + prior)
     return np.where(all_sources.sum() > 0, cutoff, np.nan)
 
 
@@ -173,8 +181,8 @@ def flag(
     time: str,
     season: str,
     fields: Mapping[str, tuple[float, float]],
-    risk: float = 5e-5,
-    share: float = 0.01,
+    risk: float = 2e-6,
+    share: float = 0.004,
     window: float = 6.0,
     prior: float = 3000.0,
     pull: float = 40.0,
@@ -202,7 +210,8 @@ def flag(
     drawn to the stage. The tail is fitted to the residuals within ``window``
     scales: what lies further off never teaches it. It begins where ``share``
     of them is left, and is drawn to that of all sources with the weight of
-    ``prior`` readings (see :func:`tail_cutoffs`).
+    ``prior`` readings, in which no source counts for more than
+    :data:`VOICE` of its own (see :func:`tail_cutoffs`).
 
     A null source is a source, a null time comes first, nulls and NaN are no
     readings; a source whose usable readings are all equal has no extremes. An
@@ -218,19 +227,45 @@ def flag(
     sizes = cut(sizes)
     apart = not sizes.isEmpty()
     told = [stuck_runs, stretch, window, pull]
+    large = None
     if apart:
         marked = cut(kept.join(bounded(sizes), F.col("source").eqNullSafe(F.col("_hot")), "left"))
         small = cut(_sized(marked.where("_is is null").drop("_hot", "_is"), fields, *told))
         large = cut(_long(readings(marked.where("_is"), "ident", "source", "time", "season", fields), *told, slice_width))
-        every = small.unionByName(large)
     else:
-        every = small = cut(_sized(kept, fields, *told))
+        small = cut(_sized(kept, fields, *told))
 
     bins = round(window / STEP)
     bin_of = F.floor(F.abs("residual") / STEP)
-    told = every.where(~F.col("implausible") & ~F.col("stuck") & (bin_of < bins)).groupBy("field", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    teaches = ~F.col("implausible") & ~F.col("stuck") & (bin_of < bins)
+
+    def own_tails(batch: pa.RecordBatch, group: np.ndarray) -> np.ndarray:
+        """Histogram ``[groups, bins]`` of the residuals that teach."""
+        y = np.abs(pc.fill_null(batch.column("residual"), np.nan).to_numpy(zero_copy_only=False))
+        no = pc.or_(batch.column("implausible"), batch.column("stuck")).to_numpy(zero_copy_only=False)
+        with np.errstate(invalid="ignore"):
+            use = ~no & (y < window)
+        place = group[use] * bins + (y[use] / STEP).astype(np.int64)
+        return np.bincount(place, minlength=(int(group[-1]) + 1) * bins).reshape(-1, bins).astype(float)
+
+    def voices(batch: pa.RecordBatch, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = own_tails(batch, group)
+        own *= np.minimum(1.0, VOICE / np.maximum(own.sum(1), 1.0))[:, None]
+        field = batch.column("field").to_numpy(zero_copy_only=False)[np.flatnonzero(np.diff(group, prepend=-1))]
+        for f in fields:
+            total = own[field == f].sum(0)
+            at = np.flatnonzero(total)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(at)), pa.array(at), pa.array(total[at])], names=["field", "bin", "n"])
+
+    told = small.mapInArrow(lambda batches: whole_groups(batches, ["source", "field"], voices), "field string, bin bigint, n double")
+    if apart:
+        large = large.withColumn("_k", F.coalesce(F.col("source").cast("string"), F.lit("\x00")))
+        binned = cut(large.where(teaches).groupBy("_k", "field", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+        heard = binned.withColumn("_all", F.sum("n").over(Window.partitionBy("_k", "field")))
+        told = told.unionByName(heard.select("field", "bin", (F.col("n") * F.least(F.lit(1.0), VOICE / F.col("_all"))).alias("n")))
     pooled = {f: np.zeros(bins) for f in fields}
-    for r in told.collect():  # fields times bins
+    for r in told.groupBy("field", "bin").agg(F.sum("n").alias("n")).collect():  # fields times bins
         pooled[r.field][r.bin] = r.n
     columns = ["ident", "source", "time", "season", "field", "value", "run_length", "level", "scale", "residual", "cutoff", "implausible", "stuck", "extreme"]
     types = dict(small.dtypes) | {"cutoff": "double", "extreme": "boolean"}
@@ -240,10 +275,7 @@ def flag(
         no = pc.or_(batch.column("implausible"), batch.column("stuck")).to_numpy(zero_copy_only=False)
         field = batch.column("field").to_numpy(zero_copy_only=False)
         first = np.flatnonzero(np.diff(group, prepend=-1))
-        with np.errstate(invalid="ignore"):
-            teaches = ~no & (y < window)
-        place = group[teaches] * bins + (y[teaches] / STEP).astype(np.int64)
-        own = np.bincount(place, minlength=len(first) * bins).reshape(-1, bins).astype(float)
+        own = own_tails(batch, group)
         cutoff = np.full(len(first), np.nan)
         for f, all_sources in pooled.items():
             mine = field[first] == f
@@ -268,8 +300,6 @@ def flag(
             limits = [tail_cutoffs(own[i : i + 1], pooled[f], risk, share, prior)[0] for i, f in enumerate(pdf["field"])]
             yield pdf[["_k", "field"]].assign(cutoff=[None if np.isnan(x) else x for x in limits])
 
-    large = large.withColumn("_k", F.coalesce(F.col("source").cast("string"), F.lit("\x00")))
-    binned = large.where(~F.col("implausible") & ~F.col("stuck") & (bin_of < bins)).groupBy("_k", "field", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     tails = binned.groupBy("_k", "field").agg(F.collect_list(F.struct("bin", "n")).alias("counts")).mapInPandas(fit, "_k string, field string, cutoff double")
     far = large.join(bounded(cut(tails)), ["_k", "field"], "left")
     extreme = F.coalesce(~F.col("implausible") & ~F.col("stuck") & (F.abs("residual") > F.col("cutoff")), F.lit(False))

@@ -45,7 +45,7 @@ def test_the_tail_decides(spark):
     rng = np.random.default_rng(3)
     light = rng.normal(size=6000).clip(-3.2, 3.2)
     heavy = light.copy()
-    heavy[rng.choice(6000, 240, replace=False)] = rng.choice([-1, 1], 240) * rng.uniform(3.5, 5.8, 240)
+    heavy[rng.choice(6000, 300, replace=False)] = rng.choice([-1, 1], 300) * rng.uniform(3.5, 5.8, 300)
     found = {}
     for name, z in (("light", light), ("heavy", heavy)):
         z[3000] = 6.5
@@ -79,3 +79,19 @@ def test_lower_quantile(spark):
         want = {k: sorted(v for j, v in rows if j == k) for k in "abcd"}
         assert got == {k: v[int(np.ceil(len(v) * share)) - 1] for k, v in want.items()}
     assert quantiles.lower_quantile(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_a_long_source_does_not_drown_the_others(spark):
+    """A source of light tails with most of all readings leaves the cutoff of the others where it was."""
+    rng = np.random.default_rng(9)
+    rows, start = [], 0
+    for k in range(40):
+        z = rng.normal(size=100).clip(-3.2, 3.2)
+        z[rng.choice(100, 2, replace=False)] = rng.choice([-1, 1], 2) * rng.uniform(4.0, 5.6, 2)
+        rows += [(start + i, f"s{k}", float(i), 2, 100 + 5 * x, None) for i, x in enumerate(z.tolist())]
+        start += 100
+    hot = [(start + i, "hot", float(i), 2, 100 + 5 * x, None) for i, x in enumerate(rng.normal(size=9000).clip(-3.2, 3.2).tolist())]
+    cut = lambda df, **kw: {r.source: r.cutoff for r in flagged(df, **kw).select("source", "cutoff").distinct().collect()}
+    alone, beside, apart = cut(framed(spark, rows)), cut(framed(spark, rows + hot)), cut(framed(spark, rows + hot), whole=5000)
+    assert max(abs(alone[s] - beside[s]) for s in alone) < 0.7 and beside["hot"] < 5.5 < min(alone.values())
+    assert beside == pytest.approx(apart, abs=1e-9)
