@@ -28,7 +28,7 @@ def _consensus(spark: SparkSession, folder: str) -> Consensus:
     """Votes of all five-stage hypnograms, with the scorers' habits; artefacts, unscored and unknown stages are none."""
     other = _hypnograms(spark, folder).where("n_stages <> 5").select("session_id", "scorer")
     rows = table(spark, folder, "hypnogram").select("session_id", "scorer", "epoch", "loaded_at", code_of(F.col("stage")).alias("code"))
-    return consensus(rows.join(bounded(other), ["session_id", "scorer"], "left_anti"), ["session_id", "epoch"], "scorer", "code", 5, version="loaded_at")
+    return consensus(rows.join(bounded(other, 100_000), ["session_id", "scorer"], "left_anti"), ["session_id", "epoch"], "scorer", "code", 5, version="loaded_at")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _stretches(spark: SparkSession, folder: str, **limits) -> DataFrame:
     """Runs of stage codes (from 0, unscored) with the hypnogram's number of stages and epoch length."""
     epochs = table(spark, folder, "hypnogram").select("session_id", "scorer", "epoch", "loaded_at", (code_of(F.col("stage")) + 2).alias("code"))
     runs = collapse_runs(epochs, ["session_id", "scorer"], "epoch", "code", version="loaded_at", **limits)
-    return runs.join(bounded(_hypnograms(spark, folder)), ["session_id", "scorer"])
+    return runs.join(bounded(_hypnograms(spark, folder), 100_000), ["session_id", "scorer"])
 
 
 #: How alike light and deep stages are to their neighbours, by code from 0 (N1 with N2, N2 with N3), for :func:`p5_bouts`.
