@@ -46,7 +46,8 @@ def tidy(spelling: Column) -> Column:
 def code_of(spelling: Column) -> Column:
     """Stage code of a spelling; null for null, blank and unknown ones."""
     table = F.create_map(*[x for k, v in CODES.items() for x in (F.lit(k), F.lit(v))])
-    return F.try_element_at(table, tidy(spelling))
+    # trimming blanks alone is quick, and nearly always enough
+    return F.coalesce(F.try_element_at(table, F.upper(F.trim(spelling))), F.try_element_at(table, tidy(spelling)))
 
 
 def label_of(code: Column, n_stages: Column | int) -> Column:
