@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nightloom.llm import mixing as M
@@ -179,3 +181,12 @@ def test_tokens(spark):
     assert len(long) > 200_000 and tokens.count_tokens(long) == whole
     got = tokens.with_token_counts(spark.createDataFrame([(text,), (None,), ("",)], "text string"), "text").collect()
     assert [r.n_tokens for r in got] == [n, 0, 0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "\r\n", "\t", " ", " ", " ", "\x0b", "\x85", "1", "23", "'s", "'ll", ".", "§ 5", "é", "é", "Я", "λ", "​", "-\n", "\n-"]), max_size=40).map("".join))
+def test_tokens_line_by_line(text):
+    """Long texts are counted in pieces; however odd their white space, that changes no count."""
+    whole = tokens.count_tokens(text)
+    pieces = [p for p in tokens._SEAM.split(text)] if text else []
+    assert sum(tokens.count_tokens(p) for p in pieces) == whole
