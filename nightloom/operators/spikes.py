@@ -258,7 +258,7 @@ def flag(
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([f] * len(at)), pa.array(at), pa.array(total[at])], names=["field", "bin", "n"])
 
-    told = small.mapInArrow(lambda batches: whole_groups(batches, ["source", "field"], voices), "field string, bin bigint, n double")
+    told = small.select("source", "field", "residual", "implausible", "stuck").mapInArrow(lambda batches: whole_groups(batches, ["source", "field"], voices), "field string, bin bigint, n double")
     if apart:
         large = large.withColumn("_k", F.coalesce(F.col("source").cast("string"), F.lit("\x00")))
         binned = cut(large.where(teaches).groupBy("_k", "field", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
