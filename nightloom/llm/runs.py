@@ -2,16 +2,15 @@
 
 Adjacent agglomeration: the runs of an entity form a linked list, a priority
 queue holds neighbouring pairs, and the most similar pair is merged again and
-again until none meets the limits of similarity and gap. Equal neighbours go
-first in any case and in any order, so they are merged array-wise; list and
-queue work on what is left.
+again until none meets the limits of similarity and gap. Equal and
+near-identical neighbours alike are merged this way.
 
 Entities are worked in slices of the order column, which bounds a task's rows.
 A stretch is what could merge at all: no step in it exceeds the gap, and its
 labels are linked by similarity, which merging never changes. A stretch inside
-a slice is agglomerated there; one that touches the slice's edge waits, its
-equal neighbours merged, for a slice 4096 times as wide. The outcome is that of
-the whole list.
+a slice is agglomerated there; one that touches the slice's edge waits for a
+slice 4096 times as wide, with its equal neighbours merged where these go
+before all others. The outcome is that of the whole list.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from pyspark.sql import functions as F
 from ..operators.sequence import changes, whole_groups
 from ..session import cut
 
-_UNIT = 1 << 20
-
 
 def agglomerate(entity: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, label: np.ndarray, *, least: float = 1.0, gap: int = 1, similar: Mapping[tuple[int, int], float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs ``(index of the first member, last, count, label)`` of rows sorted by entity and ``first``.
@@ -42,49 +39,57 @@ def agglomerate(entity: np.ndarray, first: np.ndarray, last: np.ndarray, count:
     with more events, of equal ones the earlier.
     """
     n = len(first)
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    f, l, c, g, e = first.tolist(), last.tolist(), count.tolist(), label.tolist(), entity
-    joined = np.zeros(n, bool)
-    joined[:-1] = e[:-1] == e[1:]
-    same = joined.tolist()
+    close, equal = np.zeros(n + 1, bool), np.zeros(n, bool)
+    close[1:n] = (entity[1:] == entity[:-1]) & (label[1:] >= 0) & (label[:-1] >= 0) & (first[1:] - last[:-1] <= gap)
+    equal[1:] = close[1:n] & (label[1:] == label[:-1])
+    # a pair is known by its right run: merging changes neither the gap before it nor its place
+    space = np.zeros(n, np.int64)
+    space[1:] = np.unique(np.maximum(first[1:] - last[:-1], 0), return_inverse=True)[1]
+    place = space * n + np.arange(n)
+    likes = {(a, b): x for (a, b), x in (similar or {}).items() if a != b and x >= least}
+    tier = {x: i * n * n for i, x in enumerate(sorted({1.0, 0.0, *likes.values()}, reverse=True))}
+    table = {pair: tier[x] for pair, x in likes.items()}
+    other, same = (tier[x] if x >= least else None for x in (0.0, 1.0))
+
+    g, c, at, may = label.tolist(), count.tolist(), place.tolist(), close.tolist()
+    keys = np.full(n, -1) if same is None else np.where(equal, place + same, -1)
+    for j in np.flatnonzero(close[:n] & ~equal).tolist() if table or other is not None else ():
+        if (t := table.get((g[j - 1], g[j]), other)) is not None:
+            keys[j] = t + at[j]
+    now = keys.tolist()  # the key by which a pair is in the queue; entries with another are out of date
+    queue = np.sort(keys[keys >= 0]).tolist()  # sorted, so a heap
+    nxt, prv = list(range(1, n + 1)), list(range(-1, n))
     alive = bytearray(b"\x01") * n
-    table = similar or {}
-
-    def rank(i: int, j: int) -> int | None:
-        if not same[i] or g[i] < 0 or g[j] < 0:
-            return None
-        space = f[j] - l[i]
-        if space > gap:
-            return None
-        likeness = 1.0 if g[i] == g[j] else table.get((g[i], g[j]), 0.0)
-        if likeness < least:
-            return None
-        return int((1.0 - likeness) * 1_000_000) * _UNIT + min(max(space, 0), _UNIT - 1)
-
-    queue = [(r, i, i + 1, 0) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
-    heapq.heapify(queue)
-    stamp = [0] * n
+
+    def ranked(j: int, a: int, b: int) -> None:
+        """Queues run ``j`` (label ``b``) with the one before it (label ``a``) by their similarity."""
+        t = same if a == b else table.get((a, b), other)
+        key = -1 if t is None else t + at[j]
+        if key != now[j]:
+            now[j] = key
+            if key >= 0:
+                heapq.heappush(queue, key)
+
     while queue:
-        _, i, j, when = heapq.heappop(queue)
-        if not alive[i] or not alive[j] or nxt[i] != j or stamp[i] + stamp[j] != when:
+        key = heapq.heappop(queue)
+        j = key % n
+        if now[j] != key:
             continue
-        if c[j] > c[i]:
-            g[i] = g[j]
+        now[j] = -1
+        i, k = prv[j], nxt[j]
+        a, b = g[i], g[j]
+        if a != b and c[j] > c[i]:
+            g[i] = b
         c[i] += c[j]
-        l[i] = l[j]
-        same[i] = same[j]
         alive[j] = 0
-        nxt[i] = nxt[j]
-        stamp[i] += 1
-        if nxt[i] < n:
-            k = nxt[i]
-            prv[k] = i
-            if (r := rank(i, k)) is not None:
-                heapq.heappush(queue, (r, i, k, stamp[i] + stamp[k]))
-        if (h := prv[i]) >= 0 and (r := rank(h, i)) is not None:
-            heapq.heappush(queue, (r, h, i, stamp[h] + stamp[i]))
+        nxt[i] = k
+        prv[k] = i
+        if g[i] != b and may[k]:
+            ranked(k, g[i], g[k])
+        if g[i] != a and may[i]:
+            ranked(i, g[prv[i]], g[i])
     keep = np.flatnonzero(np.frombuffer(bytes(alive), np.uint8))
-    return keep, np.array(l, np.int64)[keep], np.array(c, np.int64)[keep], np.array(g, np.int64)[keep]
+    return keep, last[np.array(nxt, np.int64)[keep] - 1], np.array(c, np.int64)[keep], np.array(g, np.int64)[keep]
 
 
 def _linked(similar: Mapping[tuple[int, int], float] | None, least: float) -> dict[int, int]:
@@ -116,15 +121,6 @@ def _settled(entity: np.ndarray, order: np.ndarray, version: np.ndarray | None,
     return at, np.maximum.reduceat(label, at)
 
 
-def _equal(entity: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, label: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted runs with equal neighbours merged: ``(index of the first part, last, count)``."""
-    new = np.ones(len(first), bool)
-    new[1:] = (entity[1:] != entity[:-1]) | (label[1:] != label[:-1]) | (label[1:] < 0) | (first[1:] - last[:-1] > gap)
-    at = np.flatnonzero(new)
-    end = np.append(at[1:], len(first)) - 1
-    return at, last[end], np.add.reduceat(count, at) if len(at) else count
-
-
 def _nearest_held(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the last held one before and the first one after each, -1 and the length where there is none."""
     i = np.arange(len(held))
@@ -152,7 +148,8 @@ def collapse_runs(
     neighbours (1: no number missing between them). least, similar: see
     :func:`agglomerate`; with the default only equal labels merge. A stretch of
     linked labels without a gap is one task's work, as the greedy order
-    demands; its equal neighbours are merged before.
+    demands; unless ``similar`` has unlike labels as alike as equal ones, its
+    equal neighbours are merged in each slice before.
 
     Of rows with equal ``(keys, order)`` one counts: the greatest label, or
     with ``version``, a timestamp, the last one's (null is oldest), be it null.
@@ -166,7 +163,8 @@ def collapse_runs(
     at = F.lit(0).cast("bigint") if version is None else F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(1 << 62)))
     events = df.where(F.col(order).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(order).cast("bigint").alias("first"), at.alias("_v"), F.coalesce(F.col(label).cast("int"), F.lit(-1)).alias("label"))
     lo, hi = events.agg(F.min("first"), F.max("first")).first()
-    linked = _linked(similar, least) if least < 1.0 else {}
+    linked = _linked(similar, least)
+    equal_first = not any(a != b and likeness >= 1.0 for (a, b), likeness in (similar or {}).items())
     schema = ", ".join(f"{n} {types[k]}" for n, k in zip(names, keys)) + ", first bigint, last bigint, n bigint, label int, held boolean"
 
     def level(rows: DataFrame, width: int, raw: bool) -> tuple[DataFrame, bool]:
@@ -189,12 +187,15 @@ def collapse_runs(
                 entity, first = np.cumsum(changes(batch, [*names, "_part"])) - 1, col("first")
             if raw:
                 keep, lab = _settled(entity, first, None if version is None else col("_v"), col("label"))
-                entity, first, last, count = entity[keep], first[keep], first[keep], np.ones(len(keep), np.int64)
+                last, count = first[keep], np.ones(len(keep), np.int64)
             else:
                 keep, last, count, lab = np.arange(len(first)), col("last"), col("n"), col("label")
-            runs, last, count = _equal(entity, first, last, count, lab, gap)
-            keep, entity, first, lab = keep[runs], entity[runs], first[runs], lab[runs]
-            kind = np.array([linked.get(x, x) for x in lab.tolist()]) if linked else lab
+            entity, first = entity[keep], first[keep]
+            last, count, lab = last.copy(), count.copy(), lab.copy()  # a batch's own columns can't be written to
+            kind = lab
+            if linked:
+                seen, which = np.unique(lab, return_inverse=True)
+                kind = np.array([linked.get(x, x) for x in seen.tolist()])[which]
             new = np.ones(len(first), bool)
             new[1:] = (entity[1:] != entity[:-1]) | (kind[1:] != kind[:-1]) | (lab[1:] < 0) | (first[1:] - last[:-1] > gap)
             stretch = np.cumsum(new) - 1
@@ -208,15 +209,15 @@ def collapse_runs(
                 between = ~held & (left >= 0) & (right < len(held))
                 l, r = np.maximum(left, 0), np.minimum(right, len(held) - 1)
                 held |= between & (entity[l] == entity) & (entity[r] == entity) & (first[r] - last[l] <= gap)
-            if linked:
-                loose = np.flatnonzero(~held & (np.bincount(stretch) > 1)[stretch])
-                if len(loose):
-                    some, l, c, g = agglomerate(stretch[loose], first[loose], last[loose], count[loose], lab[loose], least=least, gap=gap, similar=similar)
-                    gone = np.zeros(len(first), bool)
-                    gone[loose] = True
-                    gone[loose[some]] = False
-                    last[loose[some]], count[loose[some]], lab[loose[some]] = l, c, g
-                    keep, first, last, count, lab, held = (x[~gone] for x in (keep, first, last, count, lab, held))
+            gone = np.zeros(len(first), bool)
+            several = (np.bincount(stretch) > 1)[stretch]
+            for some, limits in ((~held, {"least": least, "similar": similar}), (held & equal_first, {"least": max(least, 1.0)})):
+                some = np.flatnonzero(some & several)
+                left, l, c, g = agglomerate(stretch[some], first[some], last[some], count[some], lab[some], gap=gap, **limits)
+                gone[some] = True
+                some = some[left]
+                gone[some], last[some], count[some], lab[some] = False, l, c, g
+            keep, first, last, count, lab, held = (x[~gone] for x in (keep, first, last, count, lab, held))
             good = (lab >= 0) | held
             told = [pa.array(first[good]), pa.array(last[good]), pa.array(count[good]), pa.array(lab[good].astype(np.int32)), pa.array(held[good])]
             yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(keep[good])).columns, *told], names=[*names, "first", "last", "n", "label", "held"])

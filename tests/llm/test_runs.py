@@ -102,6 +102,35 @@ def test_near_identical_against_brute_force(spark, seed, gap, width):
     assert collapse(spark, [rows[i] for i in rng.permutation(len(rows))], gap=gap, slice_width=width, least=0.65, similar=like) == want
 
 
+def test_equal_neighbours_come_from_the_queue(spark, monkeypatch):
+    """With equal labels only, as in p5_found, every merge is a pair taken from the queue."""
+    rows = [("a", i, v) for i, v in enumerate([2, 2, 2, 0, 0, 1, 2, 2, -1, -1, 3, 3])] + [("b", i, 1) for i in range(5)] + [("c", 0, 1), ("c", 7, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    given, taken = [], []
+    with monkeypatch.context() as m:
+        plain = type(df).mapInArrow
+        m.setattr(type(df), "mapInArrow", lambda d, f, schema: given.append((d, f)) or plain(d, f, schema))
+        R.collapse_runs(df, ["k"], "i", "v")
+    pop = R.heapq.heappop
+    monkeypatch.setattr(R.heapq, "heappop", lambda q: taken.append(q[0]) or pop(q))
+    (laid, work), = given
+    got = [r for batch in work(iter(laid.coalesce(1).toArrow().combine_chunks().to_batches())) for r in batch.to_pylist()]
+    events = sum(v >= 0 for _, _, v in rows)
+    assert {(r["_k0"], r["first"], r["last"], r["n"], r["label"]) for r in got} == brute(rows)
+    assert len(taken) == events - len(got) == 9
+
+
+@pytest.mark.parametrize("seed,gap,width", [(0, 1, 4096), (1, 2, 7), (2, 3, 16)])
+def test_unlike_labels_as_alike_as_equal_ones(spark, seed, gap, width):
+    """Among pairs alike in full the smaller gap and then the earlier goes first, whether labels are equal or not."""
+    like = {(1, 2): 1.0, (2, 1): 1.0, (2, 3): 0.9000001, (3, 2): 0.9}
+    assert collapse(spark, [("a", 0, 1), ("a", 1, 2), ("a", 2, 2)], least=0.8, similar=like, gap=gap, slice_width=width) == {("a", 0, 2, 3, 1)}
+    rng = np.random.default_rng(seed)
+    own = [(i, None if rng.random() < 0.06 else int(rng.integers(0, 4))) for i in range(-30, 120) if rng.random() > 0.15]
+    for least in (0.8, 1.0):
+        assert collapse(spark, [("a", *r) for r in own], least=least, similar=like, gap=gap, slice_width=width) == {("a", *r) for r in greedy(own, least, gap, like)}
+
+
 def test_versions_and_repeats(spark):
     rows = [("a", 1, "2020-01-01", 1), ("a", 1, "2021-01-01", 2), ("a", 2, None, 1), ("a", 2, "2020-01-01", 2), ("a", 3, "2020-01-01", 2), ("a", 3, "2021-01-01", None), ("a", 4, "2020-01-01", 0), ("a", 4, "2020-01-01", 2)]
     df = spark.createDataFrame(rows, "k string, i int, at string, v int").selectExpr("k", "i", "cast(at as timestamp_ntz) at", "v")
