@@ -8,16 +8,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_artefacts(hyp: DataFrame, artefacts: DataFrame, keys: Sequence[str], window: float, freq: Column | float, share: float = 0.0) -> DataFrame:
+def merge_artefacts(hyp: DataFrame, artefacts: DataFrame, keys: Sequence[str], window: float, freq: Column | float, share: float = 0.0, carried: bool = False) -> DataFrame:
     """``hyp`` with code -1 where more than ``share`` of an epoch's artefact windows are bad.
 
-    artefacts: ``(keys, epoch, artefact)`` counted in windows of ``window`` seconds.
+    hyp: one row an epoch, one epoch length ``freq`` a sequence. artefacts:
+    ``(keys, epoch, artefact)`` counted in windows of ``window`` seconds.
+    carried: ``artefacts`` has the column ``freq`` too, and ``last``, the
+    sequence's last epoch, so ``hyp`` needn't be read again for them.
+
+    Each window is given the numbers of the epochs it touches and counted beside
+    them: where both tables are spread by ``keys`` already, nothing is shuffled
+    again, and nothing is broadcast.
     """
     length = freq if isinstance(freq, Column) else F.lit(float(freq))
-    a = artefacts.select(*keys, F.col("epoch").alias("_w"), F.col("artefact").alias("_bad"))
-    spans = hyp.select(*keys, "epoch", F.explode(F.sequence(F.floor(F.col("epoch") * length / window), F.greatest(F.floor(F.col("epoch") * length / window), F.ceil((F.col("epoch") + 1) * length / window) - 1))).alias("_w"))
-    bad = spans.join(a, [*keys, "_w"]).groupBy(*keys, "epoch").agg(F.avg(F.col("_bad").cast("double")).alias("_s"))
-    return hyp.join(bad, [*keys, "epoch"], "left").withColumn("code", F.when(F.col("_s") > share, -1).otherwise(F.col("code"))).drop("_s")
+    a = artefacts.where(" and ".join(f"`{k}` is not null" for k in keys))
+    a = a.select(*keys, F.col("epoch").cast("bigint").alias("_w"), F.col("artefact").cast("double").alias("_bad"), *([length.alias("_f"), F.col("last").alias("_l")] if carried else []))
+    if not carried:
+        # a row a sequence: few in a task, too many for the driver
+        a = a.join(hyp.groupBy(*keys).agg(F.max(length).alias("_f"), F.max("epoch").alias("_l")).hint("shuffle_hash"), list(keys))
+    a = a.where("_bad is not null and _f is not null and (_f <> 0 or _w = 0)")  # epochs without length are all in window 0
+    # from the first to the last epoch that the window may touch, wider by more than rounding; which it does touch, the epochs say
+    ends = [F.try_divide((F.col("_w") + k) * window, F.col("_f")) for k in (0, 1)]
+    wide = lambda x, sign: x + sign * (F.abs(x) * 1e-12 + 1e-9)
+    a = a.withColumns({"_a": F.floor(F.greatest(F.lit(0.0), wide(F.least(*ends), -1))), "_b": F.floor(F.least(F.col("_l").cast("double"), wide(F.greatest(*ends), 1)))})
+    touched = a.where("_a <= _b").withColumn("_e", F.explode(F.sequence("_a", "_b")))
+    first = F.floor(F.col("_e") * F.col("_f") / window)
+    touched = touched.where((F.col("_w") >= first) & (F.col("_w") <= F.greatest(first, F.ceil((F.col("_e") + 1) * F.col("_f") / window) - 1)))
+    own = [c for c in hyp.columns if c not in (*keys, "epoch")]
+    kinds = {f.name: f.dataType for f in hyp.schema}
+    rows = hyp.select(*keys, F.col("epoch").cast("bigint").alias("epoch"), *own, F.lit(True).alias("_own"), F.lit(None).cast("double").alias("_bad"))
+    counts = touched.select(*keys, F.col("_e").alias("epoch"), *[F.lit(None).cast(kinds[c]).alias(c) for c in own], F.lit(None).cast("boolean").alias("_own"), "_bad")
+    both = rows.union(counts).groupBy(*keys, "epoch").agg(*[F.first(c, ignorenulls=True).alias(c) for c in own], F.max("_own").alias("_own"), F.avg("_bad").alias("_s"))
+    marked = both.where("_own").withColumns({"epoch": F.col("epoch").cast(kinds["epoch"]), "code": F.when(F.col("_s") > share, -1).otherwise(F.col("code"))})
+    return marked.select(*hyp.columns)
 
 
 def average_rank(value: str, by: Sequence[str]) -> Column:

@@ -17,19 +17,30 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "sleep_session"), KEYS, "loaded_at", ["hypno_id", "recording_id", "n_stages", "freq_sec", "start", "tz"])
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def scored(spark: SparkSession, folder: str, parts: int | None = None) -> DataFrame:
     """``(session_id, scorer, epoch, code)``, last delivery; null code without a known stage.
 
     Brought together by hypnogram at once: what follows works on whole nights,
-    so this is the only shuffle of the epochs.
+    so this is the only shuffle of the epochs. parts: into so many tasks.
     """
     rows = table(spark, folder, "hypnogram").select(*KEYS, "epoch", "loaded_at", code_of(F.col("stage")).alias("code"))
-    return last_code(rows.repartition(*KEYS), [*KEYS, "epoch"], "loaded_at", F.col("code"), "code")
+    return last_code(spread(rows, parts), [*KEYS, "epoch"], "loaded_at", F.col("code"), "code")
 
 
-def hypnograms(spark: SparkSession, folder: str) -> DataFrame:
+def hypnograms(spark: SparkSession, folder: str, parts: int | None = None) -> DataFrame:
     """The same without gaps."""
-    return H.dense(scored(spark, folder), KEYS)
+    return H.dense(scored(spark, folder, parts), KEYS)
+
+
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """``df`` brought together by hypnogram, in ``parts`` tasks, else in as many as the session's shuffles have."""
+    return df.repartition(*([parts] if parts else []), *KEYS)
+
+
+def parts(spark: SparkSession, folder: str, rows: int = 300_000) -> int | None:
+    """Tasks that hold about ``rows`` epochs each, so that none spills; None if the session's own are small enough. Rows are counted from the files' footers now."""
+    need = min(table(spark, folder, "hypnogram").count() // rows, 2000)  # beyond, the driver keeps too much about so many
+    return need if need > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def five_stage(spark: SparkSession, folder: str) -> DataFrame:
